@@ -36,6 +36,7 @@ STOPWORDS = tuple(
     they we me him her them my your his our their what which who whom whose how why one
     also may might must could would shall them then""".split()
 )
+ANY_STOPWORD = "^(?:" + "|".join(STOPWORDS) + ")$"
 ABBREVIATION_END = r"(?iU)(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|e\.g|i\.e)|\b[A-Z])\.$"
 
 
@@ -101,7 +102,7 @@ def words(c: Column) -> Column:
 
 
 def content_words(c: Column) -> Column:
-    return F.filter(words(c), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+    return F.filter(words(c), lambda w: (F.length(w) > 2) & ~w.rlike(ANY_STOPWORD))
 
 
 def word_key(c: Column) -> Column:

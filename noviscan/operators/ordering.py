@@ -44,6 +44,16 @@ def dense_index(df: DataFrame, keys: list[str], pos: str, out: str) -> DataFrame
     return prefix_sums(df, keys, pos, {out: F.lit(1)})
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add computed columns behind a one-row generator.
+
+    Later filters and join keys on them stay above this point: the optimizer would otherwise copy
+    these large expressions down into every filter it pushes. Costs no exchange.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
+
+
 def keep_first(df: DataFrame, identity: list, order: list[str]) -> DataFrame:
     """One row per identity: the one with the smallest order columns (partial aggregation, no sort)."""
     rest = [c for c in df.columns if c not in order]

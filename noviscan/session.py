@@ -13,6 +13,7 @@ def get_session(app: str = "noviscan", master: str | None = None, **extra) -> Sp
     if master:
         builder = builder.master(master)
     settings = {
+        "spark.driver.memory": "8g",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
