@@ -281,8 +281,8 @@ def earliest_neighbour(items: DataFrame, candidates: DataFrame, threshold: float
     Both sides: cell (group), item_id, pos, embedding. Returns item_id, by_pos, by_id, similarity;
     at most one row per item and index block leaves a task.
     """
-    q = items.select("cell", F.col("item_id").alias("query_id"), F.col("pos").alias("q_pos"), F.col("embedding").alias("qv"))
-    x = candidates.select("cell", F.col("item_id").alias("chunk_id"), F.col("pos").alias("x_pos"), F.col("embedding").alias("xv"))
+    q = items.select(F.col("cell").alias("cell"), F.col("item_id").alias("query_id"), F.col("pos").alias("q_pos"), F.col("embedding").alias("qv"))
+    x = candidates.select(F.col("cell").alias("cell"), F.col("item_id").alias("chunk_id"), F.col("pos").alias("x_pos"), F.col("embedding").alias("xv"))
     left, right = _split(q, x)
     schema = T.StructType(
         [
