@@ -349,7 +349,7 @@ SENTENCE_SQL = "list_filter(list_transform(string_split(regexp_replace({c}, '([.
     "prj2_sentence_split",
     "WITH s AS (SELECT doc_id, " + SENTENCE_SQL.format(c="text") + """ AS s FROM documents),
  u AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS n FROM s),
- j AS (SELECT *, coalesce(regexp_matches(lag(sentence) OVER (PARTITION BY doc_id ORDER BY n), '(?i)(?:\\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|e\\.g|i\\.e)|\\b[A-Z])\\.$'), false) AS glue FROM u),
+ j AS (SELECT *, coalesce(regexp_matches(lag(sentence) OVER (PARTITION BY doc_id ORDER BY n), '(?i)(?:^|[^\\p{L}\\p{N}_])(?:Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|vs|etc|e\\.g|i\\.e|[A-Z])\\.$'), false) AS glue FROM u),
  g AS (SELECT *, sum(CASE WHEN glue THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM j)
 SELECT doc_id, k - 1 AS pos, string_agg(sentence, ' ' ORDER BY n) AS sentence FROM g GROUP BY doc_id, k""",
 )

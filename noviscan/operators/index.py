@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noviscan.config import DEFAULTS, EngineConfig
 from noviscan.functions.identity import note_hash
+from noviscan.operators.ordering import one_row
 
 
 def fingerprints(notes: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
@@ -77,8 +78,7 @@ def index_stats(changes: DataFrame, notes: DataFrame, chunks: DataFrame, full: b
     chunk_totals = chunks.join(fresh, "note_path", "left").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.count_if("__fresh").alias("chunks_added")
     )
-    # Three one-row tables side by side.
-    return note_totals.join(chunk_totals).join(by_change).withColumn("index_mode", F.lit("full" if full else "incremental"))
+    return one_row(note_totals, chunk_totals, by_change).withColumn("index_mode", F.lit("full" if full else "incremental"))
 
 
 def embeddings_to_make(texts: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -153,9 +153,12 @@ def health_warnings(meta: DataFrame, stale: DataFrame, has_fingerprints: Column,
 def export_chunks(chunks: DataFrame, limit: int = 5000) -> DataFrame:
     """Portable chunk rows in id order, at most 5000, with a flag telling whether more exist."""
     take = min(5000, max(1, limit))
-    total = chunks.agg(F.count(F.lit(1)).alias("__n"))
-    picked = chunks.select("chunk_id", "note_path", "text").orderBy("chunk_id").limit(take)
-    return picked.join(total).withColumn("truncated", F.col("__n") > take).drop("__n")  # one-row table
+    # One row more than asked for shows whether something was left out.
+    picked = chunks.select("chunk_id", "note_path", "text").orderBy("chunk_id").limit(take + 1)
+    numbered = picked.select(
+        "*", F.row_number().over(Window.orderBy("chunk_id")).alias("__at"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__n")
+    )
+    return numbered.filter(F.col("__at") <= take).withColumn("truncated", F.col("__n") > take).drop("__at", "__n")
 
 
 # Versioned snapshots: a snapshot directory per version and a one-row pointer file.

@@ -9,6 +9,7 @@ from noviscan.config import DEFAULTS, EngineConfig
 from noviscan.functions import links as L
 from noviscan.functions import text as X
 from noviscan.functions import vectors as V
+from noviscan.operators.ordering import one_row
 
 NO_STRINGS = "array<string>"
 
@@ -144,7 +145,7 @@ def threshold_calibration(
         F.expr("percentile(s, 0.25) FILTER (WHERE same)").alias("same_p25"),
     )
     size = samples.agg(F.count(F.lit(1)).alias("sample_size"))
-    row = size.join(stats)  # two one-row tables
+    row = one_row(size, stats)
     usable = (F.col("sample_size") >= 10) & (F.col("cross_note_samples") > 0)
     raw_known = F.when(F.col("same_note_samples") > 0, F.greatest(F.col("cross_p60") + 0.05, F.col("same_p25"))).otherwise(
         F.col("cross_p85")

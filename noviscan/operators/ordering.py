@@ -54,6 +54,14 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put several one-row tables side by side without a join."""
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def keep_first(df: DataFrame, identity: list, order: list[str]) -> DataFrame:
     """One row per identity: the one with the smallest order columns (partial aggregation, no sort)."""
     rest = [c for c in df.columns if c not in order]
