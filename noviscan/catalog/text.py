@@ -114,6 +114,14 @@ def keep_relevant(spark, sf):
     return R.keep_relevant(rows, R.boilerplate(F.col("text"))).select("source_id", "doc_id")
 
 
+def _bounded(p: str) -> str:
+    """Word boundaries around a group, spelled without look-around."""
+    edge = "[^\\p{L}\\p{N}_]"
+    p = p.replace("(?iU)", "(?i)").replace("(?U)", "")
+    return p.replace("\\b(?:", f"(?:^|{edge})(?:").replace(")\\b", f")(?:$|{edge})").replace("'", "''")
+
+
+NEG = f"regexp_matches(substr(text, 1, 200), '{_bounded(R.NEGATION)}')"
 UPDATE_PAIR = (
     "substr(text, 1, 200) || CASE doc_id % 4 WHEN 0 THEN ' It is not so in 2024.' WHEN 1 THEN ' Seen in 2024 and 2019.' WHEN 2 THEN ' Took 25 ms.' ELSE '' END",
     "substr(text, 1, 200) || CASE doc_id % 4 WHEN 0 THEN ' It is so in 2024.' WHEN 1 THEN ' Seen in 2025.' WHEN 2 THEN ' Took 40,5 ms.' ELSE '' END",
@@ -122,8 +130,8 @@ UPDATE_PAIR = (
 
 @query(
     "flt10_update_detector",
-    f"""SELECT doc_id, CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN 'contradiction' WHEN doc_id % 4 < 3 THEN 'update' END AS update_type,
- CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN 'The source and vault passage differ in negation.' WHEN doc_id % 4 = 1 THEN 'Date values differ (2025 → 2019, 2024).'
+    f"""SELECT doc_id, CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN CASE WHEN {NEG} THEN NULL ELSE 'contradiction' END WHEN doc_id % 4 < 3 THEN 'update' END AS update_type,
+ CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN CASE WHEN {NEG} THEN NULL ELSE 'The source and vault passage differ in negation.' END WHEN doc_id % 4 = 1 THEN 'Date values differ (2025 → 2019, 2024).'
   WHEN doc_id % 4 = 2 THEN 'Numeric values differ from the closest vault passage.' END AS update_reason FROM documents
   WHERE NOT regexp_matches(substr(text, 1, 200), '[0-9]')""",
 )
@@ -276,7 +284,7 @@ def key_points(spark, sf):
     return _scored(spark, sf).select("doc_id", listed(points).alias("points")).filter("points <> ''")
 
 
-BONUS_SQL = " + ".join(f"(CASE WHEN regexp_matches(sentence, '{_sql_regex(p)}') THEN {w} ELSE 0 END)" for p, w in E.BONUSES)
+BONUS_SQL = " + ".join(f"(CASE WHEN regexp_matches(sentence, '{_bounded(p)}') THEN {w} ELSE 0 END)" for p, w in E.BONUSES)
 
 
 @query(
@@ -285,14 +293,16 @@ BONUS_SQL = " + ".join(f"(CASE WHEN regexp_matches(sentence, '{_sql_regex(p)}')
  l3t AS (SELECT doc_id, CASE WHEN length(s) <= 600 THEN s ELSE rtrim(substr(s, 1, 597)) || '...' END AS l3 FROM l3),
  ex AS (SELECT doc_id, unnest(list_transform({SENTENCE_SQL.format(c='l3')}, lambda q: {KEY_SQL.format(c='q')})) AS k FROM l3t),
  u AS (SELECT doc_id, idx, sentence, total, {KEY_SQL.format(c='sentence')} AS k, round(score + {BONUS_SQL}, 9) AS v FROM sc WHERE length(sentence) >= 30),
- d AS (SELECT u.*, row_number() OVER (PARTITION BY u.doc_id, u.k ORDER BY v DESC, idx) AS dup FROM u WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.doc_id = u.doc_id AND ex.k = u.k)),
+ fresh AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.doc_id = u.doc_id AND ex.k = u.k)),
+ pool AS (SELECT * FROM fresh UNION ALL SELECT * FROM u WHERE doc_id NOT IN (SELECT doc_id FROM fresh WHERE k <> '')),
+ d AS (SELECT pool.*, row_number() OVER (PARTITION BY doc_id, k ORDER BY v DESC, idx) AS dup FROM pool WHERE k <> ''),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, idx) AS rk FROM d WHERE dup = 1),
  cl AS (SELECT *, CASE WHEN length(regexp_replace(sentence, '\\s+', ' ', 'g')) <= 220 THEN regexp_replace(sentence, '\\s+', ' ', 'g') ELSE rtrim(substr(regexp_replace(sentence, '\\s+', ' ', 'g'), 1, 217)) || '...' END AS clip FROM r)
 SELECT doc_id, any_value(l3) AS l3, coalesce(string_agg(clip, '|' ORDER BY idx) FILTER (rk <= 7), '') AS l2, coalesce(string_agg(clip, '|' ORDER BY idx) FILTER (rk BETWEEN 8 AND 17), '') AS l1
 FROM cl JOIN l3t USING (doc_id) WHERE total > 6 GROUP BY doc_id""",
 )
 def evidence(spark, sf):
-    # Texts of seven sentences or more: shorter ones restart the selection, which the SQL leaves out.
+    # Texts of seven sentences or more: the SQL does not spell out the rule for a summary of one sentence.
     d = table(spark, sf, "documents").select("doc_id", "text")
     packs = E.evidence_packs(d.withColumn("n", F.size(X.sentences(X.clean_extractive(F.col("text"))))))
     return packs.filter("n > 6").select("doc_id", "l3", listed(F.col("l2")).alias("l2"), listed(F.col("l1")).alias("l1")).filter("l2 <> ''")
@@ -446,13 +456,13 @@ def captions(spark, sf):
     return longs(d.select("doc_id", F.inline(M.captions(F.col("text")))), "line")
 
 
-TABLED = "text || chr(10) || '| a | b |' || chr(10) || '| --- | :-: |' || chr(10) || '| ' || CAST(doc_id AS STRING) || ' | x |' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '| y | z |' || chr(10) ELSE '' END || 'tail'"
+TABLED = "text || chr(10) || '| a | b |' || chr(10) || '| --- | :--: |' || chr(10) || '| ' || CAST(doc_id AS STRING) || ' | x |' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '| y | z |' || chr(10) ELSE '' END || 'tail'"
 
 
 @query(
     "fn20_markdown_tables",
     """SELECT doc_id, len(string_split(text, chr(10))) + 1 AS line_start, len(string_split(text, chr(10))) + 3 + (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) AS line_end,
- '| a | b |' || chr(10) || '| --- | :-: |' || chr(10) || '| ' || doc_id || ' | x |' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '| y | z |' ELSE '' END AS markdown FROM documents""",
+ '| a | b |' || chr(10) || '| --- | :--: |' || chr(10) || '| ' || doc_id || ' | x |' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '| y | z |' ELSE '' END AS markdown FROM documents""",
 )
 def md_tables(spark, sf):
     d = table(spark, sf, "documents").selectExpr("doc_id", f"{TABLED} AS text")
