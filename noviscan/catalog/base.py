@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def joined(array):
     """Order-free text of an array of strings."""
-    return F.array_join(F.array_sort(array), "|")
+    return F.array_join(F.sort_array(array), "|")
 
 
 def listed(array):

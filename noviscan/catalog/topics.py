@@ -38,8 +38,8 @@ def topic_split(spark, sf):
 
 @query(
     "prj7_topic_split_by_heading",
-    MD_SQL + f""", h AS (SELECT *, string_split(regexp_replace(text, '(?m)^#{{1,3}}\\s+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM md),
- p AS (SELECT source_id, segment_index, text, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM h),
+    MD_SQL + f""", hp AS (SELECT *, string_split(regexp_replace(text, '(?m)^#{{1,3}}\\s+(.+)$', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS ps FROM md),
+ p AS (SELECT source_id, segment_index, text, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM hp),
  b AS (SELECT *, CASE WHEN i > 1 THEN trim(split_part(p, chr(2), 1), {WS}) ELSE '' END AS hint, trim(CASE WHEN i > 1 THEN split_part(p, chr(2), 2) ELSE p END, {WS}) AS body FROM p),
  k AS (SELECT source_id, segment_index, hint, body FROM b WHERE body <> '')
 SELECT source_id, segment_index, hint, md5(body) AS body_md5 FROM k UNION ALL
@@ -121,9 +121,9 @@ PLAN_SQL = MD_SQL + """, segs AS (SELECT source_id, segment_index, text FROM md)
 
 def _plan(spark, sf):
     pairs = _segments(spark, sf).withColumn("plan_pos", F.floor(F.col("segment_index") / 2).cast("long")).filter("plan_pos % 3 <> 2")
-    rows = pairs.groupBy("source_id", "plan_pos").agg(F.array_sort(F.collect_list("segment_index")).alias("ix"))
+    rows = pairs.groupBy("source_id", "plan_pos").agg(F.sort_array(F.collect_list("segment_index")).alias("ix"))
     return rows.select(
-        "source_id", "plan_pos", F.concat(F.lit("Plan "), "plan_pos").alias("title"), F.when(F.col("plan_pos") % 2 == 0, "kept summary").otherwise("").alias("summary"),
+        "source_id", "plan_pos", F.concat(F.lit("Plan "), "plan_pos", F.lit(" text")).alias("title"), F.when(F.col("plan_pos") % 2 == 0, "kept summary").otherwise("").alias("summary"),
         F.when(F.col("plan_pos") % 4 == 0, F.concat("ix", F.array(F.lit(99999).cast("long")))).otherwise(F.col("ix")).alias("segment_indices"),
     )
 
@@ -184,8 +184,8 @@ def earliest(spark, sf):
 
 @query(
     "agg17_topic_novelty",
-    PLAN_SQL + """, s AS (SELECT source_id, segment_index, (source_id + segment_index) % 3 = 0 AS nv, (source_id + segment_index) % 5 = 0 AS un FROM segs)
-SELECT p.source_id, plan_pos AS topic_pos, coalesce(bool_or(CASE WHEN NOT un THEN nv END), false) AS is_novel FROM plan p JOIN s ON s.source_id = p.source_id AND list_contains(p.ix, s.segment_index) GROUP BY ALL""",
+    PLAN_SQL + """, sg AS (SELECT source_id, segment_index, (source_id + segment_index) % 3 = 0 AS nv, (source_id + segment_index) % 5 = 0 AS un FROM segs)
+SELECT p.source_id, plan_pos AS topic_pos, coalesce(bool_or(CASE WHEN NOT un THEN nv END), false) AS is_novel FROM plan p JOIN sg s ON s.source_id = p.source_id AND list_contains(p.ix, s.segment_index) GROUP BY ALL""",
 )
 def topic_novelty(spark, sf):
     scores = _segments(spark, sf).selectExpr("source_id", "segment_index", "(source_id + segment_index) % 3 = 0 AS is_novel", "(source_id + segment_index) % 5 = 0 AS is_unknown")

@@ -238,4 +238,4 @@ def html_escape(c: Column) -> Column:
 
 def join_ordered(items: Column, separator: str) -> Column:
     """Join ``text`` fields of collected structs in the order of their first field."""
-    return F.array_join(F.transform(F.array_sort(items), lambda s: s["text"]), separator)
+    return F.array_join(F.transform(F.sort_array(items), lambda s: s["text"]), separator)

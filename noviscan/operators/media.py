@@ -103,7 +103,7 @@ def grid_to_markdown(cells: DataFrame, keys: list[str], cfg: EngineConfig = DEFA
     shape = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), (F.max("last") + 1).alias("width"))
     head = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= cfg.media_table_rows)
     joined = head.join(shape, keys)
-    values = F.transform(F.array_sort("c"), lambda s: s["value"])
+    values = F.transform(F.sort_array("c"), lambda s: s["value"])
     padded = F.concat(values, F.array_repeat(F.lit(""), F.greatest(F.col("width") - F.size(values), F.lit(0))))
     line = F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width").cast("int")), " | "), F.lit(" |"))

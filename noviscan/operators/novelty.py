@@ -291,7 +291,7 @@ def related_links(topics: DataFrame, matches: DataFrame, fallback: DataFrame, in
         .groupBy("query_id", L.format_link(F.col("note_path")).alias("link"))
         .agg(F.min("rank").alias("rank"))
         .groupBy("query_id")  # at most related_links rows each
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "link"))), lambda s: s["link"]).alias("links"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "link"))), lambda s: s["link"]).alias("links"))
     )
     none = F.array().cast(NO_STRINGS)
     joined = topics.join(found, "query_id", "left").join(fallback, "source_id", "left")
@@ -308,7 +308,7 @@ def source_links(overlap_rows: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataF
     top = overlap_rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cfg.related_links)
     return top.groupBy("source_id").agg(
         F.array_distinct(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "note_path"))), lambda s: L.format_link(s["note_path"]))
+            F.transform(F.sort_array(F.collect_list(F.struct("rank", "note_path"))), lambda s: L.format_link(s["note_path"]))
         ).alias("fallback_links")
     )
 

@@ -52,7 +52,7 @@ def planning_prompts(windows: DataFrame, sources: DataFrame, targets: DataFrame,
         F.col("segment_index").alias("index"), F.col("where").alias("location"), X.truncate(F.col("text"), cfg.planning_segment_chars).alias("text")
     )
     grouped = windows.groupBy("source_id", "window_index").agg(
-        F.count(F.lit(1)).alias("segments"), F.to_json(F.array_sort(F.collect_list(outline))).alias("outline")
+        F.count(F.lit(1)).alias("segments"), F.to_json(F.sort_array(F.collect_list(outline))).alias("outline")
     )
     rows = grouped.join(sources, "source_id").join(targets, "source_id")
     prompt = F.concat(
@@ -89,7 +89,7 @@ def claims_prompt(title: Column, source_title: Column, where: Column, evidence:
 def batch_prompts(topics: DataFrame, rules: Column | None = None, cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """One prompt per draft batch (run_id, batch) of at most ``draft_batch`` topics."""
     item = F.struct(F.col("pos"), F.col("slot").cast("string").alias("id"), "title", F.col("where").alias("location"), "evidence")
-    rows = F.transform(F.array_sort(F.collect_list(item)), lambda s: s.dropFields("pos"))
+    rows = F.transform(F.sort_array(F.collect_list(item)), lambda s: s.dropFields("pos"))
     prompt = F.concat(
         F.lit("Write one atomic note per concept.\n\n"), fenced("concepts and evidence", F.to_json("items")),
         F.lit(f"\n\nAnswer only with blocks that start with a line '===NOTE <id>===' followed by '# <title>' and the body (under {min(30, cfg.max_note_lines)} lines each)."),

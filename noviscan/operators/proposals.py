@@ -46,7 +46,7 @@ def refine_body(body: Column) -> Column:
         )
 
         def drop(rows):
-            keyed = F.array_sort(
+            keyed = F.sort_array(
                 F.transform(F.filter(rows, lambda r: r["key"].isNotNull()), lambda r: F.struct(r["key"].alias("key"), r["i"].alias("i")))
             )
             repeats = X.let(
@@ -376,7 +376,7 @@ def content_maps(proposals: DataFrame, sources: DataFrame, cfg: EngineConfig = D
         ["pos"],
     )
     listed = links.groupBy("source_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: F.concat(F.lit("- "), s["text"])).alias("lines")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: F.concat(F.lit("- "), s["text"])).alias("lines")
     )
     counts = proposals.groupBy("source_id").agg(F.count(F.lit(1)).alias("notes")).filter(F.col("notes") >= cfg.moc_min_notes)
     body = F.concat(

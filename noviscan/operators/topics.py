@@ -11,6 +11,7 @@ from noviscan.functions import text as X
 from noviscan.operators import titles
 from noviscan.operators.ordering import dense_index, keep_first, ordered_fold, settle
 from noviscan.operators.relevance import boilerplate_title, keep_relevant, low_value
+from noviscan.session import cut_lineage
 
 STRINGS = "array<string>"
 TOPIC_HEADING = r"(?mdU)^#{1,3}\s+(.+)$"  # fixed value
@@ -120,7 +121,7 @@ def planned_topics(plan: DataFrame, segments: DataFrame) -> DataFrame:
         wanted.join(segments.select("source_id", "segment_index", "text"), ["source_id", "segment_index"])
         .groupBy("source_id", "plan_pos")
         .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("__at", "segment_index"))), lambda s: s["segment_index"]).alias("segment_indices"),
+            F.transform(F.sort_array(F.collect_list(F.struct("__at", "segment_index"))), lambda s: s["segment_index"]).alias("segment_indices"),
             X.join_ordered(F.collect_list(F.struct("__at", X.strip(F.col("text")).alias("text"))), "\n\n").alias("text"),
         )
     )
@@ -213,7 +214,8 @@ def plan_topics(
     sources: DataFrame, segments: DataFrame, scores: DataFrame, plan: DataFrame | None = None, cfg: EngineConfig = DEFAULTS
 ) -> DataFrame:
     """Topics per source: structural or planned, flagged, capped, de-duplicated, never empty."""
-    structural = structural_topics(segments, cfg)
+    # Titles are costly and feed several branches below: make them once.
+    structural = cut_lineage(structural_topics(segments, cfg))
     if plan is None:
         rows = structural.select("source_id", "topic_pos", "title", "text", "summary", F.array("segment_index").alias("segment_indices"))
     else:
@@ -267,7 +269,7 @@ def saved_plan_is_valid(plan: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def note_identity(indices: Column, title: Column) -> Column:
-    return F.struct(F.array_sort(indices).alias("indices"), F.lower(X.strip(title)).alias("title"))
+    return F.struct(F.sort_array(indices).alias("indices"), F.lower(X.strip(title)).alias("title"))
 
 
 def resume_split(topics: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
