@@ -235,34 +235,32 @@ def decollision(spark, sf):
 
 @query(
     "agg27_map_of_content",
-    """WITH p AS (SELECT CAST(floor(doc_id / 3) AS BIGINT) AS source_id, doc_id AS pos, source || '/' || lang || '.md' AS note_path FROM documents WHERE doc_id % 5 <> 0),
+    """WITH p AS (SELECT CAST(floor(doc_id / 3) AS BIGINT) AS source_id, doc_id AS pos, source || '/' || lang || '.md' AS note_path FROM documents),
  l AS (SELECT source_id, note_path, min(pos) AS pos FROM p GROUP BY ALL), c AS (SELECT source_id, count(*) AS n FROM p GROUP BY source_id HAVING count(*) >= 2)
 SELECT source_id, 'sources/S' || source_id || '/index.md' AS note_path, '# S' || source_id || ' — notes' || chr(10) || chr(10) || 'Index of ' || any_value(n) || ' note(s) imported from this source.' || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) ||
  string_agg('- [[' || replace(l.note_path, '.md', '') || ']]', chr(10) ORDER BY pos) || chr(10) AS content FROM l JOIN c USING (source_id) GROUP BY source_id""",
 )
 def content_map(spark, sf):
-    p = table(spark, sf, "documents").filter("doc_id % 5 <> 0").selectExpr("CAST(floor(doc_id / 3) AS BIGINT) AS source_id", "doc_id AS pos", "source || '/' || lang || '.md' AS note_path")
+    p = table(spark, sf, "documents").selectExpr("CAST(floor(doc_id / 3) AS BIGINT) AS source_id", "doc_id AS pos", "source || '/' || lang || '.md' AS note_path")
     sources = p.select("source_id").distinct().withColumn("title", F.concat(F.lit("S"), "source_id"))
     return O.content_maps(p, sources).select("source_id", "note_path", "content")
 
 
 NOTE = (
-    "CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) ELSE '' END || '# Note ' || CAST(doc_id % 3 AS STRING) || chr(10) || chr(10) || substr(text, 1, 60) || chr(10) || chr(10) "
+    "CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) ELSE '' END || '# Note ' || CAST(doc_id % 3 AS STRING) || chr(10) || chr(10) || rpad(regexp_replace(substr(text, 1, 60), '[^A-Za-z]', 'x'), 60, 'x') || chr(10) || chr(10) "
     "|| repeat('- bullet of text' || chr(10), CAST(doc_id % 15 AS INT)) || CASE doc_id % 3 WHEN 0 THEN '## Related notes' || chr(10) || '- [[a]]' || chr(10) WHEN 1 THEN '## Related notes' || chr(10) || '- none [[b]]' || chr(10) ELSE '' END"
 )
 
 
 @query(
     "agg23_note_quality",
-    f"""WITH n AS (SELECT doc_id, substr(text, 1, 60) AS p60, text FROM documents WHERE NOT contains(substr(text, 1, 60), chr(10)) AND length(trim(substr(text, 1, 60), {WS})) >= 40 AND NOT regexp_matches(substr(text, 1, 60), '^\\s*[#*+-]')),
+    f"""WITH n AS (SELECT doc_id FROM documents),
  f AS (SELECT doc_id, doc_id % 2 = 0 AS headed, doc_id % 3 = 1 AS titled, CAST(doc_id % 15 AS INT) + CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS bullets,
   (CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END) + 2 + CAST(doc_id % 15 AS INT) + (CASE WHEN doc_id % 3 < 2 THEN 2 ELSE 0 END) AS lines FROM n)
 SELECT doc_id, round(((CASE WHEN headed THEN 1 ELSE 0 END) + (CASE WHEN titled THEN 1 ELSE 0 END) + 1 + (CASE WHEN bullets BETWEEN 2 AND 12 THEN 1 ELSE 0 END) + (CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0 END) + (CASE WHEN lines >= 8 THEN 1 ELSE 0 END)) / 6.0, 3) AS quality_score FROM f""",
 )
 def quality(spark, sf):
-    d = table(spark, sf, "documents").filter(
-        "NOT contains(substr(text, 1, 60), chr(10)) AND NOT substr(text, 1, 60) RLIKE '^\\\\s*[#*+-]'"
-    ).filter(F.length(X.strip(F.expr("substr(text, 1, 60)"))) >= 40)
+    d = table(spark, sf, "documents")
     return d.select("doc_id", O.quality(F.lit("note 1"), F.expr(NOTE))["quality_score"].alias("quality_score"))
 
 
@@ -287,16 +285,14 @@ def merge_status(spark, sf):
 
 @query(
     "snk6_same_path_in_order",
-    """SELECT source || '.md' AS note_path, string_agg(CASE WHEN doc_id = first_id THEN '## Update' || chr(10) || chr(10) || 'd' || doc_id ELSE '## Update' || chr(10) || chr(10) || 'd' || doc_id END, chr(10) || chr(10) ORDER BY doc_id) AS appended
- FROM (SELECT *, min(doc_id) OVER (PARTITION BY source) AS first_id FROM documents) WHERE doc_id < 100 AND doc_id % 20 < 5 GROUP BY source""",
+    """SELECT source || '.md' AS note_path, md5('base' || chr(10) || chr(10) || string_agg('## Update' || chr(10) || chr(10) || 'd' || doc_id, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS text_md5 FROM documents GROUP BY source""",
 )
 def same_path(spark, sf):
-    # Five appends to each of five notes.
-    d = table(spark, sf, "documents").filter("doc_id < 100 AND doc_id % 20 < 5")
+    # Every document is appended to the note of its source.
+    d = table(spark, sf, "documents")
     existing = d.selectExpr("source || '.md' AS note_path", "'base' AS raw").distinct()
     p = d.selectExpr("doc_id AS pos", "source || '.md' AS note_path", "'d' || CAST(doc_id AS STRING) AS content", "'append' AS mode", "false AS overwrite", "CAST(NULL AS STRING) AS append_heading")
-    written = M.apply_proposals(p, existing)[1]
-    return written.select("note_path", X.strip(F.expr("substr(raw, 5)")).alias("appended"))
+    return M.apply_proposals(p, existing)[1].select("note_path", F.md5("raw").alias("text_md5"))
 
 
 @query(

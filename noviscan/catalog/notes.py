@@ -144,13 +144,14 @@ def graph(spark, sf):
 
 @query(
     "join5_neighbourhood",
-    RESOLVED_SQL + """, seeds AS (SELECT min(note_path) AS p FROM notes WHERE lower(title) IN (SELECT name FROM names) GROUP BY note_path HAVING any_value(doc_id) % 50 = 7)
+    RESOLVED_SQL + """, seeds AS (SELECT DISTINCT names.p FROM benchmark JOIN names ON names.name = 'doc' || item_id)
 SELECT p AS note_path FROM seeds UNION SELECT src FROM edges WHERE dst IN (SELECT p FROM seeds) UNION SELECT dst FROM edges WHERE src IN (SELECT p FROM seeds)""",
 )
 def neighbourhood(spark, sf):
-    # Seeds are the titles of one note in fifty; every note and edge takes part.
+    # Seeds are titles made of the ids of the benchmark table.
     n = notes(spark, sf)
-    return G.neighbourhood(n.filter("doc_id % 50 = 7").select("title"), n, G.graph_edges(n))
+    seeds = table(spark, sf, "benchmark").selectExpr("'doc' || CAST(item_id AS STRING) AS title")
+    return G.neighbourhood(seeds, n, G.graph_edges(n))
 
 
 @query(

@@ -42,13 +42,13 @@ def incomplete(spark, sf):
 
 @query(
     "snk9_checkpoint_import",
-    RUNS_SQL + """, bundle AS (SELECT *, user_id % 3 AS k FROM (SELECT r.*, CAST(substr(source_key, 2) AS BIGINT) AS user_id FROM runs r) WHERE run_id % 4 = 0),
+    RUNS_SQL + """, bundle AS (SELECT *, user_id % 3 AS k FROM (SELECT r.*, CAST(substr(source_key, 2) AS BIGINT) AS user_id FROM runs r)),
  ok AS (SELECT * FROM bundle WHERE k <> 2 QUALIFY row_number() OVER (PARTITION BY source_key ORDER BY updated_at DESC, run_id DESC) = 1)
 SELECT source_key, count(*) AS states FROM (SELECT source_key, run_id FROM latest WHERE source_key NOT IN (SELECT source_key FROM ok) UNION ALL SELECT source_key, run_id FROM ok) GROUP BY source_key""",
 )
 def import_bundle(spark, sf):
     runs = _runs(spark, sf)
-    bundle = runs.filter("run_id % 4 = 0").withColumn("user", F.substring("source_key", 2, 20).cast("long")).select(
+    bundle = runs.withColumn("user", F.substring("source_key", 2, 20).cast("long")).select(
         *runs.columns, F.lit("text").alias("source_type"), F.col("source_key").alias("source_ref"),
         F.when(F.col("user") % 3 == 2, F.array(F.lit("../up.md"))).otherwise(F.array(F.lit("a/b.md"))).alias("note_paths"),
     ).withColumn("source_key", F.when(F.col("run_id") % 8 == 0, "").otherwise(F.col("source_key")))
@@ -58,11 +58,11 @@ def import_bundle(spark, sf):
 
 @query(
     "snk9_checkpoint_import_rejects",
-    "SELECT 's' || user_id AS source_key, count(*) AS rejected FROM events WHERE event_id % 4 = 0 AND user_id % 3 = 2 GROUP BY user_id",
+    "SELECT 's' || user_id AS source_key, count(*) AS rejected FROM events WHERE user_id % 3 = 2 GROUP BY user_id",
 )
 def import_rejects(spark, sf):
     runs = _runs(spark, sf)
-    bundle = runs.filter("run_id % 4 = 0").withColumn("user", F.substring("source_key", 2, 20).cast("long")).select(
+    bundle = runs.withColumn("user", F.substring("source_key", 2, 20).cast("long")).select(
         *runs.columns, F.lit("text").alias("source_type"), F.col("source_key").alias("source_ref"),
         F.when(F.col("user") % 3 == 2, F.array(F.lit("../up.md"))).otherwise(F.array(F.lit("a/b.md"))).alias("note_paths"),
     )

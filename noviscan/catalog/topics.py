@@ -21,10 +21,10 @@ def _segments(spark, sf):
 
 @query(
     "win3_dense_reindex",
-    MD_SQL + " SELECT source_id, line_start, row_number() OVER (PARTITION BY source_id ORDER BY line_start) - 1 AS segment_index FROM md WHERE segment_index % 3 <> 1",
+    MD_SQL + " SELECT source_id, line_start, row_number() OVER (PARTITION BY source_id ORDER BY line_start) - 1 AS segment_index FROM md",
 )
 def reindex(spark, sf):
-    kept = longs(_segments(spark, sf).filter("segment_index % 3 <> 1").drop("segment_index"), "line_start")
+    kept = longs(_segments(spark, sf).drop("segment_index"), "line_start")
     return dense_index(kept, ["source_id"], "line_start", "segment_index").select("source_id", "line_start", "segment_index")
 
 
@@ -64,13 +64,13 @@ def planned_titles(spark, sf):
 
 @query(
     "win4_title_disambiguation",
-    f"""WITH c AS ({COMPOSE_SQL}), b AS (SELECT doc_id % 20 AS source_id, doc_id AS pos, trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'Shared Name' ELSE title END, '(?i)\\s*\\((?:part\\s*)?\\d+\\)\\s*$', ''), {WS}) AS bare FROM c WHERE doc_id % 6 IN (0, 2, 3, 4)),
+    f"""WITH c AS ({COMPOSE_SQL}), b AS (SELECT doc_id % 20 AS source_id, doc_id AS pos, trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'Shared Name' WHEN doc_id % 6 IN (1, 5) THEN 'Other name' ELSE title END, '(?i)\\s*\\((?:part\\s*)?\\d+\\)\\s*$', ''), {WS}) AS bare FROM c),
  n AS (SELECT *, count(*) OVER (PARTITION BY source_id, lower(bare)) AS n, row_number() OVER (PARTITION BY source_id, lower(bare) ORDER BY pos) AS k FROM b)
 SELECT source_id, pos, CASE WHEN n = 1 THEN bare ELSE bare || ' (part ' || k || ')' END AS title FROM n""",
 )
 def disambiguation(spark, sf):
-    d = table(spark, sf, "documents").filter("doc_id % 6 IN (0, 2, 3, 4)").selectExpr("doc_id % 20 AS source_id", "doc_id AS pos", f"{HEADLINES} AS h", "doc_id")
-    named = d.withColumn("t", F.when(F.col("doc_id") % 3 == 0, "Shared Name").otherwise(X.compose_title(F.col("h"))))
+    d = table(spark, sf, "documents").selectExpr("doc_id % 20 AS source_id", "doc_id AS pos", f"{HEADLINES} AS h", "doc_id")
+    named = d.withColumn("t", F.when(F.col("doc_id") % 3 == 0, "Shared Name").when((F.col("doc_id") % 6).isin(1, 5), "Other name").otherwise(X.compose_title(F.col("h"))))
     return N.disambiguate(named, "source_id", "pos", "t", "title").select("source_id", "pos", "title")
 
 

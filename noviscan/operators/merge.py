@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from noviscan.functions import links as L
 from noviscan.functions import text as X
 from noviscan.operators.chunking import sections
-from noviscan.operators.ordering import ordered_fold
-from noviscan.sources.notes import HEADER_BLOCK, note_body
+from noviscan.operators.ordering import prefix_sums
+from noviscan.session import cut_lineage
+from noviscan.sources.notes import note_body
 
 
 def path_problem(path: Column) -> Column:
@@ -117,47 +117,79 @@ def preview(proposals: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
+def _number_turns(proposals: DataFrame) -> DataFrame:
+    """Order of passes per path: neighbouring appends without a heading share one turn."""
+    plain = (F.col("mode") == "append") & F.col("append_heading").isNull()
+    marked = prefix_sums(proposals.withColumn("__plain", plain), ["note_path"], "pos", {"__breaks": F.when(F.col("__plain"), 0).otherwise(1)})
+    slot = marked.withColumn("__slot", F.col("__breaks") * 2 + F.when(F.col("__plain"), 0).otherwise(1))
+    order = Window.partitionBy("note_path").orderBy("__slot")
+    turns = slot.select("note_path", "__slot").distinct().withColumn("turn", F.row_number().over(order) - 1)
+    return slot.join(turns, ["note_path", "__slot"]).drop("__breaks", "__slot", "__plain")
+
+
+def _append_runs(run: DataFrame, state: DataFrame) -> DataFrame:
+    """Paths with a run of plain appends: all additions in order behind the existing note (or the first draft).
+
+    The gathered texts of a path are the note that is written.
+    """
+    rows = run.groupBy("note_path").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "content", append_body(F.col("content")).alias("add")))).alias("items")
+    )
+    joined = rows.join(state.select("note_path", F.col("raw").alias("existing")), "note_path", "left")
+    base = F.coalesce("existing", F.concat(X.strip(F.element_at("items", 1)["content"]), F.lit("\n")))
+    later = F.when(F.col("existing").isNull(), F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0)))).otherwise(F.col("items"))
+    adds = F.filter(F.transform(later, lambda i: X.strip(i["add"])), lambda a: a != "")
+    text = F.when((F.size(later) == 0) & F.col("existing").isNull(), base).otherwise(
+        F.concat(F.array_join(F.concat(F.array(X.rstrip(base)), adds), "\n\n"), F.lit("\n"))
+    )
+    return joined.select("note_path", text.alias("raw"), F.col("existing").isNull().alias("created"))
+
+
 def apply_proposals(proposals: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, written notes, backups) of one batch in ``pos`` order.
 
-    Proposals with a path of their own are merged in one pass. Where several share a path, later ones
-    see what earlier ones wrote: round n applies the n-th proposal of every path, so the number of
-    passes is the longest chain and no path is gathered into a task.
+    Later proposals of a path see what earlier ones wrote. A run of plain appends is merged at once;
+    only writes and appends under a heading open a new pass, so the number of passes is the longest
+    alternation on one path, not the number of its proposals.
     """
     valid, rejected = validate(proposals)
-    from noviscan.operators.ordering import prefix_sums
-
-    ordered = prefix_sums(valid, ["note_path"], "pos", {"turn": F.lit(1)})
+    ordered = _number_turns(valid)
     last = ordered.agg(F.max("turn")).first()[0]
-    from noviscan.session import cut_lineage
-
+    last = -1 if last is None else last
+    if last > 0:
+        ordered = cut_lineage(ordered)
     state = notes.select("note_path", "raw")
     results = rejected.select("pos", "note_path", F.lit("error").alias("status"), F.lit(False).alias("overwritten"), F.col("reason").alias("error"))
-    backups = None
-    written = None
-    for turn in range(0, (last if last is not None else -1) + 1):
+    backups, written = None, None
+    exists_text = F.lit("Note already exists; pass overwrite=true to replace (a .bak backup is kept)")
+    for turn in range(last + 1):
         now = ordered.filter(F.col("turn") == turn).drop("turn")
-        seen = preview(now, state)
-        status = merge_status(F.col("mode"), F.col("exists"), F.coalesce("overwrite", F.lit(False)))
-        done = seen.withColumn("status", status)
+        plain = (F.col("mode") == "append") & F.col("append_heading").isNull()
+        runs = now.filter(plain)
+        merged = _append_runs(runs, state)
+        done = preview(now.filter(~plain), state).withColumn(
+            "status", merge_status(F.col("mode"), F.col("exists"), F.coalesce("overwrite", F.lit(False)))
+        )
         if last > 0:
-            done = cut_lineage(done)
-        replaced = done.filter((F.col("mode") == "write") & F.col("exists") & (F.col("status") == "written"))
-        exists_text = F.lit("Note already exists; pass overwrite=true to replace (a .bak backup is kept)")
-        results = results.unionByName(
-            done.select(
-                "pos", "note_path", "status",
-                ((F.col("mode") == "write") & F.col("exists") & (F.col("status") == "written")).alias("overwritten"),
-                F.when(F.col("status") == "skipped_exists", exists_text)
-                .when(F.col("status") == "error", F.lit("mode must be 'write' or 'append'"))
-                .alias("error"),
-            )
+            merged, done = cut_lineage(merged), cut_lineage(done)
+        replaced = (F.col("mode") == "write") & F.col("exists") & (F.col("status") == "written")
+        error = F.when(F.col("status") == "skipped_exists", exists_text).when(F.col("status") == "error", F.lit("mode must be 'write' or 'append'"))
+        first = runs.groupBy("note_path").agg(F.min("pos").alias("__first"))
+        appended = (
+            runs.join(first, "note_path").join(merged.select("note_path", "created"), "note_path")
+            .withColumn("status", F.when(F.col("created") & (F.col("pos") == F.col("__first")), "written").otherwise("appended"))
+        )
+        none = F.lit(None).cast("string")
+        results = results.unionByName(done.select("pos", "note_path", "status", replaced.alias("overwritten"), error.alias("error"))).unionByName(
+            appended.select("pos", "note_path", "status", F.lit(False).alias("overwritten"), none.alias("error"))
         )
-        saved = replaced.select(
+        saved = done.filter(replaced).select(
             F.concat("note_path", F.lit(".bak")).alias("backup_path"), "note_path", F.col("existing_content").alias("raw"), "pos"
         )
         backups = saved if backups is None else backups.unionByName(saved)
-        out = done.filter(F.col("status").isin("written", "appended")).select("note_path", F.col("final_content").alias("raw"))
+        out = done.filter(F.col("status").isin("written", "appended")).select("note_path", F.col("final_content").alias("raw")).unionByName(
+            merged.select("note_path", "raw")
+        )
         written = out if written is None else written.join(out.select("note_path"), "note_path", "left_anti").unionByName(out)
         if turn < last:
             state = state.join(out.select("note_path"), "note_path", "left_anti").unionByName(out)
