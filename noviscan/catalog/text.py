@@ -15,6 +15,7 @@ from noviscan.operators import merge as G
 from noviscan.operators import proposals as O
 from noviscan.operators import relevance as R
 from noviscan.operators import titles as T
+from noviscan.operators.ordering import settle
 from noviscan.sources import segments as S
 
 # --- filters --------------------------------------------------------------------------------------
@@ -264,7 +265,7 @@ SELECT doc_id, CASE WHEN length(s) <= 600 THEN s ELSE rtrim(substr(s, 1, 597)) |
 )
 def summary(spark, sf):
     text = E.summary(F.col("__text"), F.col("__sents"), F.col("__scores"), 3, 600)
-    return _scored(spark, sf).select("doc_id", text.alias("summary")).filter("summary <> ''")
+    return settle(_scored(spark, sf), summary=text).filter("summary <> ''").select("doc_id", "summary")
 
 
 KEY_SQL = "array_to_string(regexp_extract_all(lower({c}), '[a-z0-9'']+'), ' ')"
@@ -280,7 +281,7 @@ SELECT doc_id, string_agg(sentence, '|' ORDER BY idx) AS points FROM r WHERE rk
 )
 def key_points(spark, sf):
     points = E.key_points(F.col("__sents"), F.col("__scores"), F.try_element_at("__sents", F.lit(1)))
-    return _scored(spark, sf).select("doc_id", listed(points).alias("points")).filter("points <> ''")
+    return settle(_scored(spark, sf), points=listed(points)).filter("points <> ''").select("doc_id", "points")
 
 
 BONUS_SQL = " + ".join(f"(CASE WHEN regexp_matches(sentence, '{_bounded(p)}') THEN {w} ELSE 0 END)" for p, w in E.BONUSES)
@@ -323,7 +324,8 @@ SELECT source_id, string_agg(t, chr(10) || chr(10) ORDER BY segment_index) AS ex
 )
 def excerpts(spark, sf):
     texts = F.transform(S.markdown_segments(F.col("text")), lambda s: s["text"])
-    return markdown(spark, sf).select("source_id", E.fit_excerpts(texts, 300).alias("excerpt")).filter("excerpt <> ''")
+    rows = settle(markdown(spark, sf).select("source_id", "text"), excerpt=E.fit_excerpts(texts, 300))
+    return rows.filter("excerpt <> ''").select("source_id", "excerpt")
 
 
 @query(
@@ -336,7 +338,8 @@ SELECT doc_id, lower(gram) AS gram FROM r WHERE k = 1""",
 )
 def ngram(spark, sf):
     gram = T.salient_ngram(X.clean_extractive(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.lower(gram).alias("gram")).filter("gram IS NOT NULL")
+    d = settle(table(spark, sf, "documents").select("doc_id", "text"), gram=F.lower(gram))
+    return d.filter("gram IS NOT NULL").select("doc_id", "gram")
 
 
 # --- text functions -------------------------------------------------------------------------------
