@@ -251,10 +251,10 @@ def _scored(spark, sf):
     return E.scored_text(table(spark, sf, "documents").select("doc_id", "text"), "text")
 
 
-@query("agg15_sentence_scores", SCORED_SQL + "SELECT doc_id, CAST(idx AS BIGINT) AS idx, round(score, 6) AS score FROM sc")
+@query("agg15_sentence_scores", SCORED_SQL + "SELECT doc_id, CAST(idx AS BIGINT) AS idx, CAST(round(score * 1e9) AS BIGINT) AS nano_score FROM sc")
 def sentence_scores(spark, sf):
     rows = _scored(spark, sf).select("doc_id", F.posexplode("__scores").alias("idx", "score"))
-    return longs(rows, "idx").withColumn("score", F.round("score", 6))
+    return longs(rows, "idx").select("doc_id", "idx", F.round(F.col("score") * 1e9).cast("long").alias("nano_score"))
 
 
 @query(
