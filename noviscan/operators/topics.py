@@ -93,7 +93,8 @@ def structural_topics(segments: DataFrame, cfg: EngineConfig = DEFAULTS) -> Data
     based = titles.unstage(titles.refine_title(titles.stage_body(oversized, "__body"), "__body", "__h", "__base"))
     hinted = whole.unionByName(based.drop("__h").withColumnRenamed("__base", "__h"))
     pieces = hinted.select("source_id", "segment_index", "__part", "__h", F.posexplode("__cuts").alias("__piece", "text"))
-    rows = titles.unstage(titles.refine_title(titles.stage_body(pieces, "text"), "text", "__h", "title"))
+    # Titles are costly and everything below reads them several times: make them once.
+    rows = cut_lineage(titles.unstage(titles.refine_title(titles.stage_body(pieces, "text"), "text", "__h", "title")))
     placed = rows.withColumn(
         "__pos",
         F.col("segment_index").cast("long") * F.lit(1 << 30) + F.col("__part").cast("long") * F.lit(1 << 12) + F.col("__piece"),
@@ -214,8 +215,7 @@ def plan_topics(
     sources: DataFrame, segments: DataFrame, scores: DataFrame, plan: DataFrame | None = None, cfg: EngineConfig = DEFAULTS
 ) -> DataFrame:
     """Topics per source: structural or planned, flagged, capped, de-duplicated, never empty."""
-    # Titles are costly and feed several branches below: make them once.
-    structural = cut_lineage(structural_topics(segments, cfg))
+    structural = structural_topics(segments, cfg)
     if plan is None:
         rows = structural.select("source_id", "topic_pos", "title", "text", "summary", F.array("segment_index").alias("segment_indices"))
     else:
