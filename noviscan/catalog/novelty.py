@@ -377,9 +377,19 @@ def shared(spark, sf):
     return _tag_rows(spark, sf).select("doc_id", joined(V.shared_tags(F.col("a"), F.col("b"))).alias("shared"))
 
 
-@query("set7_near_duplicate_claiming")
+@query(
+    "set7_near_duplicate_claiming",
+    """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ p AS (SELECT a.vec_id, b.vec_id AS earlier, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) AS s FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id),
+ nb AS (SELECT vec_id, list(earlier) AS near FROM p WHERE s >= 0.25 GROUP BY vec_id),
+ o AS (SELECT e.vec_id, label, row_number() OVER (PARTITION BY label ORDER BY e.vec_id) AS rn, coalesce(near, []) AS near FROM e LEFT JOIN nb USING (vec_id)),
+ r AS (SELECT label, rn, vec_id, [vec_id] AS kept, CAST(NULL AS BIGINT) AS owner FROM o WHERE rn = 1 UNION ALL
+  SELECT o.label, o.rn, o.vec_id, CASE WHEN list_has_any(r.kept, o.near) THEN r.kept ELSE list_append(r.kept, o.vec_id) END,
+   CASE WHEN list_has_any(r.kept, o.near) THEN list_min(list_intersect(r.kept, o.near)) END FROM r JOIN o ON o.label = r.label AND o.rn = r.rn + 1)
+SELECT r.vec_id AS item_id, owner AS duplicate_of, round(p.s, 3) AS similarity FROM r JOIN p ON p.vec_id = r.vec_id AND p.earlier = r.owner""",
+)
 def claiming(spark, sf):
     e = table(spark, sf, "embeddings").select(
         F.col("label").alias("source_id"), F.col("vec_id").alias("item_id"), F.col("vec_id").alias("pos"), "embedding"
     )
-    return D.claim_duplicates(e, DEFAULTS.replace(duplicate_threshold=0.40))
+    return D.claim_duplicates(e, DEFAULTS.replace(duplicate_threshold=0.25))

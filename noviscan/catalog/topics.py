@@ -261,9 +261,16 @@ def planning_windows(spark, sf):
     return T.planning_windows(_segments(spark, sf), DEFAULTS.replace(planning_max_segments=3, planning_total_chars=10**9)).select("source_id", "segment_index", "window_index")
 
 
-@query("win8_planning_windows_by_characters")
+@query(
+    "win8_planning_windows_by_characters",
+    MD_SQL.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + """, sz AS (SELECT source_id, segment_index, least(length(text), 1600) AS ch FROM md),
+ r AS (SELECT source_id, segment_index, 0 AS w, 1 AS n, ch AS used FROM sz WHERE segment_index = 0 UNION ALL
+  SELECT sz.source_id, sz.segment_index, CASE WHEN r.n >= 400 OR r.used + sz.ch > 3000 THEN r.w + 1 ELSE r.w END, CASE WHEN r.n >= 400 OR r.used + sz.ch > 3000 THEN 1 ELSE r.n + 1 END,
+   CASE WHEN r.n >= 400 OR r.used + sz.ch > 3000 THEN sz.ch ELSE r.used + sz.ch END FROM r JOIN sz ON sz.source_id = r.source_id AND sz.segment_index = r.segment_index + 1)
+SELECT source_id, segment_index, CAST(w AS BIGINT) AS window_index FROM r""",
+)
 def planning_windows_chars(spark, sf):
-    return T.planning_windows(_segments(spark, sf), DEFAULTS.replace(planning_total_chars=3000))
+    return T.planning_windows(_segments(spark, sf), DEFAULTS.replace(planning_total_chars=3000)).select("source_id", "segment_index", "window_index")
 
 
 @query("prj22_plan_topics")
