@@ -29,7 +29,7 @@ HEAP_BYTES = 256
 KEPT_PARTS = 400_000
 KEPT_CHARS = 200
 #: White space as the pattern understands it (Unicode White_Space).
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PARTS = f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+"
 NONE = 1 << 60
 

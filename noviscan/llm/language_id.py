@@ -21,7 +21,7 @@ from noviscan.llm.base import query, slices, table, text_of
 BUCKETS_LOG2 = 15
 MAX_LANGUAGES = 512
 MARGIN_SCALE = 12.0
-AMBIGUOUS_GAP = 0.05
+AMBIGUOUS_GAP = 0.02
 UNDETERMINED = "und"
 
 
