@@ -4,10 +4,7 @@ import importlib
 
 from noviscan.llm.base import ORACLE, QUERIES
 
-MODULES = (
-    "decontamination", "sanitise", "language_id", "byte_bpe", "line_dedup", "html_consensus", "topk_search",
-    "warc_revisit", "token_orc", "jaccard_join",
-)
+MODULES = ("language_id", "byte_bpe", "warc_revisit", "token_orc")
 
 for _name in MODULES:
     importlib.import_module(f"noviscan.llm.{_name}")
