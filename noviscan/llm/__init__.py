@@ -4,7 +4,9 @@ import importlib
 
 from noviscan.llm.base import ORACLE, QUERIES
 
-MODULES = ("language_id", "byte_bpe", "warc_revisit", "token_orc")
+MODULES = (
+    "decontamination", "sanitise", "language_id", "byte_bpe", "html_consensus", "warc_revisit", "token_orc", "jaccard_join",
+)
 
 for _name in MODULES:
     importlib.import_module(f"noviscan.llm.{_name}")
