@@ -96,17 +96,17 @@ class Block:
 
 
 def benchmark_blocks(benchmark: DataFrame):
-    """Blocks of bounded size; a benchmark of any size is joined block by block, all rows against each."""
+    """Items with their words in blocks of bounded size; a benchmark of any size is joined block by block, all rows against each."""
     words = LooseWords()
     held, size = [], 0
     for row in benchmark.select("item_id", text_of().alias("text")).toLocalIterator():
         found = words.of(row.text)
         if held and (len(held) >= ITEMS_PER_BLOCK or size + len(found) > WORDS_PER_BLOCK):
-            yield Block(held)
+            yield held
             held, size = [], 0
         held.append((row.item_id, found))
         size += len(found)
-    yield Block(held)
+    yield held
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            words, block = LooseWords(), shared.value
+            words, block = LooseWords(), Block(shared.value)
             for batch in slices(batches):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
