@@ -15,15 +15,14 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from noviscan.llm.base import query, scratch, slices, table, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-BYTES_PER_FILE = 64 << 20
-KEPT_WORDS = 300_000
+BYTES_PER_FILE = 32 << 20
+KEPT_WORDS = 600_000
 #: White space as the tokenizer understands it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ORC_OPTIONS = {
@@ -33,75 +32,90 @@ ORC_OPTIONS = {
 
 
 class Words(dict):
-    """Ids of the parts of a text between white space; the tokenizer drops white space and never joins over it."""
+    """Ids of the parts of a text, as bytes; no token ever spans two parts.
+
+    White space is dropped by the tokenizer, and letters and the full stop or comma after them are different
+    matches of its pattern. A part of plain letters is one match, and the last token of each match carries
+    the mark of a word's end; so many new parts are encoded as one text and told apart by that mark.
+    """
+
+    CUT = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^{WHITE}.,])|[^{WHITE}]+").findall
+    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
-
-    def learn(self, parts: set[str]) -> None:
-        if len(self) + len(parts) > KEPT_WORDS:
+        tokens = tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[k for token, k in tokens.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [self.CUT(text) for text in texts]
+        wanted = {part for own in parts for part in own}
+        if len(self) + len(wanted) > KEPT_WORDS:
             self.clear()
-        parts = list(parts)
-        for part, coded in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False)):
-            self[part] = np.array(coded.ids, "<i4").tobytes()
-
-
-def tokenize(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Every row with ``ids`` (array of int, closed by ``end_id``) in place of its text."""
-    kept = [c for c in df.columns if c not in ("ids", text)]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{text}`").alias("__text"))
-
-    def run(batches):
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        model.encode_special_tokens = True  # the name of a special token in a text is text
-        words, end, cut = Words(model), np.array([end_id], "<i4").tobytes(), re.compile(f"[^{WHITE}]+").findall
-        for batch in slices(batches):
-            texts = [cut(value) for value in batch.column(batch.num_columns - 1).to_pylist()]
-            new = {part for parts in texts for part in parts if part not in words}
-            if new:
-                words.learn(new)
-                if any(part not in words for parts in texts for part in parts):  # the memo was emptied
-                    words.learn({part for parts in texts for part in parts})
-            coded = [b"".join([words[part] for part in parts]) + end for parts in texts]
-            flat = np.frombuffer(b"".join(coded), "<i4")
-            ends = np.cumsum([0, *[len(x) // 4 for x in coded]])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
-
-    return source.mapInArrow(run, source.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType())))
+        self.learn([part for part in wanted if part not in self])
+        return [b"".join([self[part] for part in own]) for own in parts]
+
+    def learn(self, new: list[str]) -> None:
+        plain = [part for part in new if self.PLAIN(part)]
+        rest = [part for part in new if not self.PLAIN(part)]
+        for at in range(0, len(plain), 4096):
+            group = plain[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<i4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(group):
+                rest += group
+                continue
+            coded = ids.tobytes()
+            self.update(zip(group, [coded[x:y] for x, y in zip([0, *ends], ends)]))
+        for part, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self[part] = np.array(found.ids, "<i4").tobytes()
+
+
+def tokenize(batches, tokenizer: str = TOKENIZER, end_id: int = END_ID):
+    """Slices of (doc_id, text) batches, each with the ids of its texts (closed by ``end_id``) as an Arrow list."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+    model.encode_special_tokens = True  # the name of a special token in a text is text
+    words, end = Words(model), np.array([end_id], "<i4").tobytes()
+    for batch in slices(batches):
+        coded = [ids + end for ids in words.encode(batch.column("text").to_pylist())]
+        ends = np.cumsum([0, *[len(x) // 4 for x in coded]])
+        flat = np.frombuffer(b"".join(coded), "<i4")
+        yield batch, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def write_token_files(df: DataFrame, path: str, files: int, text: str = "text") -> None:
     """Tokenized ``df`` (doc_id, text) as ORC below ``path``, rows in ascending doc_id order.
 
     Columns of the files: ``file`` (their order), ``doc_id``, ``start_in_file``, ``n_tokens``, ``ids``. A null
-    doc_id comes first; rows that repeat an id are ordered by their text, so equal rows are neighbours.
+    doc_id comes first; rows that repeat an id are ordered by their text, so equal rows are neighbours. A
+    null or empty text is the end id alone. Other columns are not written.
     """
     dealt = (
-        df.select("doc_id", text_of(f"`{text}`").alias("text"))
+        df.select(F.col("doc_id").cast("long"), text_of(f"`{text}`").alias("text"))
         .repartitionByRange(files, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
 
     def place(batches):
         before = 0
-        for batch in batches:
-            sizes = pa.compute.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch, ids in tokenize(batches):
+            sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
             ends = before + np.cumsum(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ends - sizes), pa.array(sizes), batch.column("ids")],
+                [batch.column("doc_id"), pa.array(ends - sizes), pa.array(sizes), ids],
                 ["doc_id", "start_in_file", "n_tokens", "ids"],
             )
-            before = int(ends[-1]) if len(ends) else before
-
-    import pyarrow.compute  # noqa: F401  (used inside the tasks)
+            before = int(ends[-1])
 
-    placed = tokenize(dealt).mapInArrow(place, "doc_id long, start_in_file long, n_tokens long, ids array<int>")
-    numbered = placed.select(F.spark_partition_id().alias("file"), "*")
-    numbered.write.options(**ORC_OPTIONS).orc(path)
+    placed = dealt.mapInArrow(place, "doc_id long, start_in_file long, n_tokens long, ids array<int>")
+    placed.select(F.spark_partition_id().alias("file"), "*").write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -133,9 +147,9 @@ def ids_crc(rows: DataFrame) -> DataFrame:
 
 
 def file_count(docs: DataFrame) -> int:
-    """Files of about ``BYTES_PER_FILE`` of input, and at least as many as the shuffle has partitions."""
+    """Files of about ``BYTES_PER_FILE`` of input, and no fewer than there are cores."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // BYTES_PER_FILE)
+    return max(docs.sparkSession.sparkContext.defaultParallelism, 1 + size // BYTES_PER_FILE)
 
 
 @query("op9_token_orc")
