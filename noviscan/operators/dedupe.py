@@ -19,12 +19,12 @@ def fingerprint_text(title: Column, content: Column) -> Column:
     return X.strip(F.concat(X.strip(title), F.lit("\n"), F.substring(body, 1, 800)))
 
 
-def claim_duplicates(items: DataFrame, cfg: EngineConfig = DEFAULTS, rounds: int = 1000) -> DataFrame:
+def claim_duplicates(items: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
     """item_id, duplicate_of, similarity for every claimed item.
 
     ``items``: source_id, item_id, pos (claim order inside the source: novel first, then position),
     embedding. Equal vectors are folded to their first item before anything is compared, so a mass of
-    copies costs one comparison each. Then rounds run until every item is settled: an item without an
+    copies costs one comparison each. Then rounds run until every item is settled, however many it takes: an item without an
     earlier open neighbour is kept, an item with an earlier kept neighbour is a repeat. At the end
     each repeat is given to its earliest kept neighbour. A pass emits at most one row per item and block.
     """
@@ -37,11 +37,11 @@ def claim_duplicates(items: DataFrame, cfg: EngineConfig = DEFAULTS, rounds: int
     leaders = firsts.select("cell", "vec_key", "f.*")
     everyone = cut_lineage(leaders.select("cell", "item_id", "pos", "embedding"))
     open_items, kept = everyone, None
-    for _ in range(rounds):
-        if open_items.isEmpty():
-            break
+    while not open_items.isEmpty():
         blocked = earliest_neighbour(open_items, open_items, threshold).select("item_id")
         fresh = cut_lineage(open_items.join(blocked, "item_id", "left_anti"))
+        if fresh.isEmpty():  # the earliest open item has no earlier neighbour, unless positions repeat
+            raise ValueError("positions within a source must differ")
         kept = fresh if kept is None else kept.unionByName(fresh)
         rest = open_items.join(fresh.select("item_id"), "item_id", "left_anti")
         lost = earliest_neighbour(rest, fresh, threshold).select("item_id")

@@ -151,8 +151,8 @@ def health_warnings(meta: DataFrame, stale: DataFrame, has_fingerprints: Column,
 
 
 def export_chunks(chunks: DataFrame, limit: int = 5000) -> DataFrame:
-    """Portable chunk rows in id order, at most 5000, with a flag telling whether more exist."""
-    take = min(5000, max(1, limit))
+    """The first ``limit`` portable chunk rows in id order, with a flag telling whether more exist."""
+    take = max(1, limit)
     # One row more than asked for shows whether something was left out.
     picked = chunks.select("chunk_id", "note_path", "text").orderBy("chunk_id").limit(take + 1)
     numbered = picked.select(

@@ -163,23 +163,29 @@ def _recovered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 yield value
             at = text.find(opener, end)
 
-    def candidates(text):
-        objects = list(values(text, "{"))
-        yield from (v for v in values(text, "[") if isinstance(v, list))
-        yield from (v for o in objects for v in o.values() if isinstance(v, list))
-        yield [o for o in objects if {"title", "body", "segment_indices"} & set(o)]
+    def dicts(items):
+        return [v for v in items if isinstance(v, dict)]
+
+    def complete(text):
+        """Arrays that decode whole, bare or as a value of an object; a wrapped one counts if it has objects."""
+        yield from (dicts(v) for v in values(text, "[") if isinstance(v, list))
+        wrapped = (v for o in values(text, "{") if isinstance(o, dict) for v in o.values() if isinstance(v, list))
+        yield from filter(None, map(dicts, wrapped))
+
+    def loose(text):
+        yield [o for o in values(text, "{") if isinstance(o, dict) and {"title", "body", "segment_indices"} & set(o)]
 
     def recover(text):
         if text is None:
             return None
         repaired = re.sub(r",(\s*[\]}])", r"\1", text.translate(SMART))
-        best = None
-        for variant in dict.fromkeys((text, repaired)):
-            for found in candidates(variant):
-                items = [v for v in found if isinstance(v, dict)]
-                if items and (best is None or weight(items) > weight(best)):
-                    best = items
-        return None if best is None else json.dumps(best, ensure_ascii=False)
+        variants = list(dict.fromkeys((text, repaired)))
+        for rank in (complete, loose):  # loose objects count only where no array decodes
+            found = [items for variant in variants for items in rank(variant)]
+            if found:
+                best = max(found, key=weight)  # the first among equals
+                return json.dumps(best, ensure_ascii=False) if best else None
+        return None
 
     for series in batches:
         yield series.map(recover)

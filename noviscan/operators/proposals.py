@@ -90,13 +90,14 @@ def refine_body(body: Column) -> Column:
 
     def piecewise(t):
         fence = r"(?mdU)^[^\S\n]*```[^\n]*(?:\n(?![^\S\n]*```)[^\n]*)*+(?:\n[^\S\n]*```[^\n]*)?"
-        prose = F.split(F.regexp_replace(t, fence, "\x02"), "\x02")
+        # a fence is one mark while the prose around it is tidied, so a section goes on behind it
+        prose = F.split(tidy_text(F.regexp_replace(t, fence, "\x02")), "\x02")
         code = F.regexp_extract_all(t, F.lit(fence), F.lit(0))
         woven = F.transform(
             prose,
             lambda p, i: F.concat(
                 F.when(i > 0, F.concat(F.lit("\n\n"), X.rstrip(F.coalesce(F.get(code, i - 1), F.lit(""))), F.lit("\n"))).otherwise(""),
-                F.regexp_replace(tidy_text(p), r"^\n{2,}(?!#)|\n{2,}$", "\n"),
+                F.when(i > 0, F.regexp_replace(p, r"^\n", "")).otherwise(p),
             ),
         )
         return F.concat(X.strip(F.regexp_replace(F.array_join(woven, ""), r"\n{3,}", "\n\n")), F.lit("\n"))

@@ -24,13 +24,10 @@ NO_STRINGS = "array<string>"
 @pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def _header_fields(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """YAML header -> field name to JSON value; null when it does not parse to a mapping."""
-    try:
-        import yaml
-    except ImportError:  # headers are dropped where no YAML reader is installed
-        yaml = None
+    import yaml  # a worker without it fails, rather than dropping headers
 
     def read(block):
-        if yaml is None or block is None:
+        if block is None:
             return None
         try:
             value = yaml.safe_load(block)
