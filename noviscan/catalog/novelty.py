@@ -218,7 +218,7 @@ def related(spark, sf):
 
 @query(
     "join15_question_answering",
-    matches_sql(3) + """SELECT query_id, 'No LLM is configured. The most relevant vault passages are: ' ||
+    matches_sql(3) + """SELECT query_id, 'Closest passages: ' ||
   string_agg('[' || rank || '] ' || note_title, '; ' ORDER BY rank) || '.' AS answer,
   string_agg('[' || rank || '] ' || note_path || CASE WHEN heading <> '' THEN ' > ' || heading ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context
   FROM matches GROUP BY query_id""",

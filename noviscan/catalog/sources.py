@@ -142,7 +142,7 @@ def page_ingest(spark, sf):
 
 @query(
     "src10_page_limit_warnings",
-    """SELECT conv_id AS doc_id, 'PDF has ' || count(*) || ' pages; only the first 5 were extracted (MAX_PDF_PAGES).' AS warning FROM conversations GROUP BY conv_id HAVING count(*) > 5""",
+    """SELECT conv_id AS doc_id, 'pages: ' || count(*) || ' given, 5 kept' AS warning FROM conversations GROUP BY conv_id HAVING count(*) > 5""",
 )
 def page_warnings(spark, sf):
     pages = table(spark, sf, "conversations").selectExpr("conv_id AS doc_id", "turn + 1 AS page", "text")

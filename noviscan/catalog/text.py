@@ -132,8 +132,8 @@ UPDATE_PAIR = (
 @query(
     "flt10_update_detector",
     f"""SELECT doc_id, CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN CASE WHEN {NEG} THEN NULL ELSE 'contradiction' END WHEN doc_id % 4 < 3 THEN 'update' END AS update_type,
- CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN CASE WHEN {NEG} THEN NULL ELSE 'The source and vault passage differ in negation.' END WHEN doc_id % 4 = 1 THEN 'Date values differ (2025 → 2019, 2024).'
-  WHEN doc_id % 4 = 2 THEN 'Numeric values differ from the closest vault passage.' END AS update_reason FROM documents""",
+ CASE WHEN (doc_id % 7) / 7.0 < 0.5 THEN NULL WHEN doc_id % 4 = 0 THEN CASE WHEN {NEG} THEN NULL ELSE 'one side negates' END WHEN doc_id % 4 = 1 THEN 'years: 2025 became 2019, 2024'
+  WHEN doc_id % 4 = 2 THEN 'numbers changed' END AS update_reason FROM documents""",
 )
 def update_detector(spark, sf):
     d = table(spark, sf, "documents").selectExpr(

@@ -153,10 +153,10 @@ def threshold_calibration(
     known = F.least(F.lit(0.98), F.greatest(raw_known, F.col("cross_p60") + 0.05))
     novel = F.greatest(F.lit(0.05), F.least(F.col("cross_p60"), known - 0.05))
     message = (
-        F.when(F.col("sample_size") == 0, "Index is empty — using provider defaults.")
-        .when(F.col("sample_size") < 10, "Not enough indexed chunks to calibrate — using provider defaults.")
-        .when(F.col("cross_note_samples") == 0, "Could not sample cross-note similarities — using provider defaults.")
-        .otherwise("Calibrated from indexed vault chunk similarities.")
+        F.when(F.col("sample_size") == 0, "no chunks: defaults")
+        .when(F.col("sample_size") < 10, "fewer than 10 chunks: defaults")
+        .when(F.col("cross_note_samples") == 0, "chunks of one note only: defaults")
+        .otherwise("from sampled similarities")
     )
     enough = F.col("sample_size") >= 10
     return row.select(

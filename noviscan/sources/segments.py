@@ -133,8 +133,8 @@ def page_segments(pages: DataFrame, cfg: EngineConfig = DEFAULTS, doc: str = "do
     warnings = counts.filter(F.col("page_count") > cfg.max_pages).select(
         doc,
         F.concat(
-            F.lit("PDF has "), F.col("page_count"),
-            F.lit(f" pages; only the first {cfg.max_pages} were extracted (MAX_PDF_PAGES)."),
+            F.lit("pages: "), F.col("page_count"),
+            F.lit(f" given, {cfg.max_pages} kept"),
         ).alias("warning"),
     )
     return segments, warnings
@@ -237,6 +237,6 @@ def cap_warnings(segments: DataFrame, limit: int, source: str = "source_id") ->
     return total.filter(F.col("chars") > limit).select(
         source,
         F.lit(
-            f"Extracted text truncated to {limit:,} characters (MAX_SOURCE_CHARS); later content was skipped."
+            f"characters: {limit} kept"
         ).alias("warning"),
     )
