@@ -110,14 +110,21 @@ def find_entities(docs: DataFrame) -> DataFrame:
 def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): in how many of all documents each of ``terms`` occurs.
 
-    Tasks count the terms that pass a sieve of fixed size; an exact join drops the few others.
+    Tasks count the terms that pass a sieve of fixed size, so a few others are among the rows; the join that
+    uses the counts drops them. A task sends its counts when they are many, and at its end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sieve(terms.select(F.xxhash64("term").alias("key"))))
 
     def count(batches):
         known: dict[str, bool] = {}
+        found: Counter[str] = Counter()
+
+        def counts():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"]
+            )
+
         for batch in slices(batches):
-            found: Counter[str] = Counter()
             texts = [set(TERM.findall(text.lower())) for text in batch.column(0).to_pylist()]
             new = list({w for words in texts for w in words if w not in known})
             if len(known) + len(new) > KEPT_WORDS:
@@ -126,12 +133,13 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
             known.update(zip(new, sifted(shared.value, np.array([term_hash(w) for w in new], np.int64)).tolist() if new else ()))
             for words in texts:
                 found.update(w for w in words if known[w])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"]
-            )
+            if len(found) > KEPT_WORDS:
+                yield counts()
+                found.clear()
+        yield counts()
 
-    per_slice = docs.select(text_of().alias("text")).mapInArrow(count, "term string, n long")
-    return per_slice.groupBy("term").agg(F.sum("n").alias("df")).join(terms, "term", "left_semi")
+    per_task = docs.select(text_of().alias("text")).mapInArrow(count, "term string, n long")
+    return per_task.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
