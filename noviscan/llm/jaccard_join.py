@@ -27,6 +27,8 @@ PERCENT = 75
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 13
 SALTS = 64
+#: A little over 100 / 75, so the sizes of linking sets are in the same or in neighbouring blocks.
+BLOCK_RATIO = 1.34
 
 ODD = np.random.default_rng(23).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,7 +150,7 @@ def possible(x: str, y: str):
 
 
 def verifier(sets: DataFrame):
-    """Compares the whole sets of pairs; only the sets that occur in pairs are shuffled."""
+    """Compares the whole sets of pairs (Jaccard distance); only the sets that occur in pairs are shuffled."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -172,14 +174,19 @@ def verifier(sets: DataFrame):
 
         def compare(batches):
             for batch in slices(batches):
-                keep = []
+                linked, distance = [], []
                 for x, y in zip(batch.column(2), batch.column(3)):
                     x, y = unpacked(x.as_py()), unpacked(y.as_py())
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                    union = len(np.union1d(x, y))
+                    common = len(x) + len(y) - union
+                    linked.append(100 * common >= PERCENT * union)
+                    distance.append(1.0 - common / union)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())], ["a", "b", "linked", "distance"]
+                )
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        return both.mapInArrow(compare, "a long, b long, linked boolean, distance double")
 
     return verify
 
@@ -193,8 +200,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     sets = written(shingle_sets(docs), "shingle-sets")
     lists = written(prefix_lists(sets), "prefix-lists")
-    block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(4.0 / 3.0)))
-    roots = written(linked_components(lists, verifier(sets), possible, block, 2), "roots")
+    block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(BLOCK_RATIO)))
+    roots = written(linked_components(lists, verifier(sets), possible, block, 1, 1 - PERCENT / 100), "roots")
     rows = sets.select("doc_id", "size", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = written(rows, "rows-with-root")
     least = written(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least-ids")

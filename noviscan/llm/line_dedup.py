@@ -175,9 +175,10 @@ def near_lines(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         def compare(batches):
             for batch in slices(batches):
                 keep = [within(p, q, distance) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+        return both.withColumn("distance", F.lit(None).cast("double"))
 
     def possible(x: str, y: str):
         return F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= distance
@@ -233,6 +234,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: texts lose their repeated lines; documents of which nothing is left go."""
-    had_text = F.length(F.trim(text_of())) > 0
-    return dedupe_lines(docs).filter(had_text)
+    """Stage: texts lose their repeated lines, ``n_chars`` follows; documents of which nothing is left go."""
+    kept = dedupe_lines(docs).filter(F.length(F.trim(text_of())) > 0)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept

@@ -1,15 +1,16 @@
 """Links among items that share signatures, without ever listing all pairs of a group.
 
 ``lists`` holds a row (key, id, size, pos, side) for each signature of an item. A pair is a candidate if an
-index row and a probe row (``side`` 0 and 1, or 2 for both) meet under a key. Whole answers in two rounds:
+index row and a probe row (``side`` 0 and 1, or 2 for both) meet under a key. Whole answers in three rounds:
 
 1. Every probe of a list is compared with one leader of the list only, so a list of g near copies costs g
    comparisons. The links found give first components.
-2. What is left are pairs of different components. A list with one component has none of these and is
-   skipped whole. Of the others, the members of the list's largest component are never compared with each
-   other: they have the same component, which is all that is asked for.
+2. A list with one component is finished. In the others, members outside the list's largest component are
+   compared with one member of it, another one in each list.
+3. What is left are pairs of different components; two members of the largest component of a list never
+   meet. Where both were compared with the same leader, the triangle inequality answers for most of them.
 
-Both joins are by equal keys on written tables, so Spark can split keys that many rows share.
+The joins are by equal keys on written tables, so Spark can split keys that many rows share.
 """
 
 from __future__ import annotations
@@ -27,56 +28,91 @@ Verify = Callable[[DataFrame], DataFrame]
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of the connected components of ``edges`` (a, b); root is the least id.
 
-    Every pass takes the least label among the neighbours and then the label's own label, so paths shorten
-    by jumps; tables are written between the passes, and the loop ends when no label changes.
+    A pass gives every id the least label of its neighbours' labels, and of its own, so paths shorten by
+    jumps. Each pass is one written table, and the loop ends when no label changes.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = written(both, "edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        raised = labels.join(up, "root", "left").select("id", "root", F.least("root", "above").alias("above"))
+        near = both.join(raised.select(F.col("id").alias("b"), "above"), "b").groupBy(F.col("a").alias("id")).agg(F.min("above").alias("near"))
+        step = raised.join(near, "id").select("id", F.col("root").alias("was"), F.least("above", "near").alias("root"))
         step = written(step, "labels")
-        up = step.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = step.join(up, "root", "left").select("id", "was", F.least("root", "above").alias("root"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("id", "root")
-        if jumped.filter("was <> root").isEmpty():
+        labels = step.select("id", "root")
+        if step.filter("was <> root").isEmpty():
             return labels
 
 
-def linked_components(lists: DataFrame, verify: Verify, possible: Callable[[str, str], Column], block: Column, reach: int) -> DataFrame:
+def linked_components(
+    lists: DataFrame, verify: Verify, possible: Callable[[str, str], Column], block: Column, reach: int, limit: float | None = None
+) -> DataFrame:
     """(id, root) of all items with a link, for written ``lists`` in which each key has two ids at least.
 
-    ``verify`` maps pairs (a, b) to those that link. ``possible(x, y)`` is a condition on the size and pos
-    of two rows that every linking pair fulfils at one of its keys at least. ``block`` is a number by size;
-    rows whose blocks differ by more than ``reach`` never link, so such blocks of a list are skipped.
+    ``verify`` maps pairs (a, b) to (a, b, linked, distance). ``possible(x, y)`` is a condition on the size
+    and pos of two rows that every linking pair fulfils at one of its keys at least. ``block`` is a number by
+    size; rows whose blocks differ by more than ``reach`` never link, so such blocks of a list are skipped.
+    ``limit`` is the largest distance of linking items, for a distance that is a metric.
     """
     index = lists.filter("side in (0, 2)").withColumn("block", block)
     probe = lists.filter("side in (1, 2)").withColumn("block", block)
     leaders = index.groupBy("key", "block").agg(F.min(F.struct("id", "size", "pos")).alias("y"))
     leaders = written(leaders.select("key", "block", "y.*"), "leaders")
     met = probe.alias("x").join(leaders.alias("y"), ["key", "block"]).filter(F.col("x.id") != F.col("y.id")).filter(possible("x", "y"))
-    tested = written(ordered(met).distinct(), "star-pairs")
-    links = written(verify(tested), "links")
-    first = components(links)
-
-    with_root = lists.join(first, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    with_root = written(with_root, "lists-with-root")
-    counts = with_root.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"))
-    mixed = written(mixed.filter("roots > 1").select("key", F.col("top.root").alias("top")), "mixed-lists")
-    open_lists = written(with_root.join(mixed, "key").withColumn("block", block), "open-lists")
-    left = open_lists.filter("side in (1, 2)")
-    right = open_lists.filter("side in (0, 2)")
-    # one side is never of the largest component; the other may be
+    tested = written(verify(written(ordered(met).distinct(), "star-pairs")), "tested")
+    first = components(tested.filter("linked"))
+
+    rooted = written(with_root(lists, first), "lists-with-root")
+    open_lists = written(mixed(rooted).withColumn("block", block), "open-lists")
+    if open_lists.isEmpty():
+        return first
+    outside = open_lists.filter("root <> top and side in (1, 2)")
+    inside = open_lists.filter("root = top and side in (0, 2)").groupBy("key", "block")
+    samples = written(inside.agg(F.min_by(F.struct("id", "size", "pos"), F.xxhash64("id", "key")).alias("y")).select("key", "block", "y.*"), "samples")
+    met = outside.alias("x").join(samples.alias("y"), ["key", "block"]).filter(possible("x", "y"))
+    second = written(ordered(met).distinct().join(tested, ["a", "b"], "left_anti"), "sample-pairs")
+    tested = tested.union(written(verify(second), "tested"))
+    roots = components(tested.filter("linked"))
+
+    if limit is not None:
+        open_lists = with_leader(open_lists, leaders, tested)
+    else:
+        open_lists = open_lists.withColumns({"leader": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
+    open_lists = written(mixed(with_root(open_lists.drop("root", "top"), roots)), "open-lists")
+    answered = F.coalesce(
+        (F.col("x.leader") == F.col("y.leader")) & (F.abs(F.col("x.far") - F.col("y.far")) > (limit or 0.0) + 1e-9), F.lit(False)
+    )
+    left, right = open_lists.filter("side in (1, 2)"), open_lists.filter("side in (0, 2)")
     pairs = None
     for x, y in ((left.filter("root <> top"), right), (left.filter("root = top"), right.filter("root <> top"))):
         spread = x.withColumn("block", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
-        met = spread.alias("x").join(y.alias("y"), ["key", "block"]).filter("x.root <> y.root").filter(possible("x", "y"))
-        pairs = ordered(met) if pairs is None else pairs.union(ordered(met))
+        met = spread.alias("x").join(y.alias("y"), ["key", "block"])
+        met = ordered(met.filter("x.root <> y.root").filter(possible("x", "y")).filter(~answered))
+        pairs = met if pairs is None else pairs.union(met)
     rest = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
-    more = written(verify(rest), "links")
-    return components(links.union(more))
+    more = written(verify(rest), "tested")
+    return components(tested.union(more).filter("linked"))
+
+
+def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the root of their id, the id itself where it has no link."""
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows of lists with more than one root, with ``top``, the root of most rows of the list."""
+    counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    lists = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"))
+    return rows.join(written(lists.filter("roots > 1").select("key", F.col("top.root").alias("top")), "mixed-lists"), "key")
+
+
+def with_leader(rows: DataFrame, leaders: DataFrame, tested: DataFrame) -> DataFrame:
+    """``rows`` with the leader of their list and block and the distance to it, null where it is not known."""
+    led = rows.join(leaders.select("key", "block", F.col("id").alias("leader")), ["key", "block"], "left")
+    led = led.withColumns({"a": F.least("id", "leader"), "b": F.greatest("id", "leader")})
+    known = led.join(tested.select("a", "b", "distance"), ["a", "b"], "left").drop("a", "b")
+    return known.withColumn("far", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("distance"))).drop("distance")
 
 
 def ordered(met: DataFrame) -> DataFrame:
