@@ -122,10 +122,10 @@ def _bounded(p: str) -> str:
     return p.replace("\\b(?:", f"(?:^|{edge})(?:").replace(")\\b", f")(?:$|{edge})").replace("'", "''")
 
 
-NEG = f"regexp_matches(translate(substr(text, 1, 200), '0123456789', ''), '{_bounded(R.NEGATION)}')"
+NEG = f"regexp_matches(translate(text, '0123456789', ''), '{_bounded(R.NEGATION)}')"
 UPDATE_PAIR = (
-    "translate(substr(text, 1, 200), '0123456789', '') || CASE doc_id % 4 WHEN 0 THEN ' It is not so in 2024.' WHEN 1 THEN ' Seen in 2024 and 2019.' WHEN 2 THEN ' Took 25 ms.' ELSE '' END",
-    "translate(substr(text, 1, 200), '0123456789', '') || CASE doc_id % 4 WHEN 0 THEN ' It is so in 2024.' WHEN 1 THEN ' Seen in 2025.' WHEN 2 THEN ' Took 40,5 ms.' ELSE '' END",
+    "translate(text, '0123456789', '') || CASE doc_id % 4 WHEN 0 THEN ' It is not so in 2024.' WHEN 1 THEN ' Seen in 2024 and 2019.' WHEN 2 THEN ' Took 25 ms.' ELSE '' END",
+    "translate(text, '0123456789', '') || CASE doc_id % 4 WHEN 0 THEN ' It is so in 2024.' WHEN 1 THEN ' Seen in 2025.' WHEN 2 THEN ' Took 40,5 ms.' ELSE '' END",
 )
 
 
@@ -172,14 +172,14 @@ def words_sql(c: str) -> str:
     return f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9'']+'), lambda w: length(w) > 2 AND w NOT IN ({stop}))"
 
 
-PAIR_SQL = f"""WITH p AS (SELECT doc_id, list_distinct({words_sql('substr(text, 1, 60)')}) AS a, list_distinct({words_sql("substr(text, 30, 400)")}) AS b FROM documents),
+PAIR_SQL = f"""WITH p AS (SELECT doc_id, list_distinct({words_sql('substr(text, 1, 60)')}) AS a, list_distinct({words_sql("text")}) AS b FROM documents),
  j AS (SELECT *, len(list_intersect(a, b)) AS n FROM p),
  k AS (SELECT doc_id, len(a) AS la, len(b) AS lb, n, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE n / (len(a) + len(b) - n) END AS c FROM j)
 """
 
 
 def _pairs(spark, sf):
-    return table(spark, sf, "documents").selectExpr("doc_id", "substr(text, 1, 60) AS title", "substr(text, 30, 400) AS body")
+    return table(spark, sf, "documents").selectExpr("doc_id", "substr(text, 1, 60) AS title", "text AS body")
 
 
 @query("flt13_grounded_title", PAIR_SQL + "SELECT doc_id, la > 0 AND lb > 0 AND (n / greatest(la, 1) >= 0.5 OR c >= 0.12) AS grounded FROM k")
@@ -472,14 +472,14 @@ def md_tables(spark, sf):
 
 @query(
     "fn21_cell_grid_to_markdown",
-    """WITH c AS (SELECT conv_id, turn AS r, replace(trim(regexp_replace(substr(text, 1, 20), '\\s+', ' ', 'g')), '|', '\\|') AS v, role FROM conversations),
+    """WITH c AS (SELECT conv_id, turn AS r, replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '|', '\\|') AS v, role FROM conversations),
  n AS (SELECT conv_id, count(*) AS rows FROM c GROUP BY conv_id),
  l AS (SELECT conv_id, r, '| ' || role || ' | ' || v || ' |' || CASE WHEN r = 0 THEN chr(10) || '| --- | --- |' ELSE '' END AS line FROM c WHERE r < 4)
 SELECT conv_id, CASE WHEN any_value(rows) >= 2 THEN string_agg(line, chr(10) ORDER BY r) || CASE WHEN any_value(rows) > 4 THEN chr(10) || '| _... ' || (any_value(rows) - 4) || ' more row(s) omitted_ |' ELSE '' END END AS markdown FROM l JOIN n USING (conv_id) GROUP BY conv_id""",
 )
 def grid(spark, sf):
     c = table(spark, sf, "conversations")
-    cells = c.selectExpr("conv_id", "CAST(turn AS INT) AS row", "stack(2, 0, role, 1, substr(text, 1, 20)) AS (col, value)")
+    cells = c.selectExpr("conv_id", "CAST(turn AS INT) AS row", "stack(2, 0, role, 1, text) AS (col, value)")
     return M.grid_to_markdown(cells, ["conv_id"], DEFAULTS.replace(media_table_rows=4))
 
 

@@ -58,7 +58,7 @@ def concept_titles(spark, sf):
 
 @query("prj21_ground_planned_title")
 def planned_titles(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id", "text", f"{HEADLINES} AS planned", "substr(text, 1, 300) AS summary")
+    d = table(spark, sf, "documents").selectExpr("doc_id", "text", f"{HEADLINES} AS planned", "text AS summary")
     return N.planned_title(d, "planned", "summary", "text", "title").select("doc_id", "title")
 
 
