@@ -113,9 +113,11 @@ def top_k(
     x = index.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("xv"), *_keys(group, extra, "x"))
     schema = _result_schema(queries, index, query_id, chunk_id)
 
-    if strategy == "auto" and group is None:
-        size = x.count() * max(1, _dimension(x, "xv")) * 8
-        strategy = "broadcast" if size <= cfg.broadcast_bytes else "cells"
+    if strategy == "broadcast" or (strategy == "auto" and group is None):
+        fits = x.count() * max(1, _dimension(x, "xv")) * 8 <= cfg.broadcast_bytes
+        if strategy == "broadcast" and not fits:
+            raise ValueError(f"the index is larger than broadcast_bytes = {cfg.broadcast_bytes}")
+        strategy = "broadcast" if fits else "cells"
     if strategy == "broadcast":
         return _rank(_broadcast_pairs(q, x, k, schema, bool(extra)), k)
     if group is not None:
@@ -134,7 +136,7 @@ def _keys(group: str | None, extra: list[str], side: str):
 
 
 def _broadcast_pairs(q: DataFrame, x: DataFrame, k: int, schema: T.StructType, differs: bool) -> DataFrame:
-    # The caller has checked the size of x against cfg.broadcast_bytes.
+    # top_k has checked the size of x against cfg.broadcast_bytes.
     table = x.toPandas().sort_values("chunk_id", kind="stable").reset_index(drop=True)
     payload = (
         table["chunk_id"].to_numpy(),
