@@ -25,6 +25,9 @@ HEADLINES = {
     "segment_and_chunk": "prj6_chunks_for_scoring",
     "boilerplate": "flt1_boilerplate_segment",
     "daily_counters": "agg19_daily_counters",
+    "claim_duplicates": "set7_near_duplicate_claiming",
+    "merge_proposals": "snk6_merge_proposals_status",
+    "run_state_stream": "str3_run_state_stream",
 }
 
 
