@@ -5,8 +5,8 @@ the shingle; lists are cut into blocks by size, and blocks and positions that ca
 skipped. Answer level: equal sets are one item; similar sets take their answer from a set that was
 compared before (see ``linking``), instead of being compared with every member of its group.
 
-Rarity only orders the shingles, so a sketch of fixed size, summed over all sets, is enough for it: any
-order used for all sets alike gives the same links.
+Rarity only orders the shingles, so a sketch of fixed size, summed over all sets, and a bitmap of shared
+shingles are enough for it: any order used for all sets alike gives the same links.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noviscan.llm.base import query, sieve, sifted, slices, table, text_of, written
@@ -109,9 +110,8 @@ def least_common(size):
     return (PERCENT * size + 99) // 100
 
 
-def prefix_lists(sets: DataFrame) -> DataFrame:
-    """(key, id, size, pos, side) of the prefix shingles that two different sets at least have."""
-    levels = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+def prefixes(sets: DataFrame, levels, shared=None) -> DataFrame:
+    """(key, id, size, pos) of the prefix of each set: first shingles not known as shared, rare ones first."""
 
     def run(batches):
         seen: set[int] = set()
@@ -122,9 +122,11 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
                     continue
                 seen.add(one)
                 values = unpacked(blob)
-                level = levels.value[(values & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+                order = levels.value[(values & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+                if shared is not None:
+                    order |= sifted(shared.value, values).astype(np.uint64) << np.uint64(8)
                 count = len(values) - least_common(len(values)) + 1
-                order = np.sort((level << np.uint64(48)) | values)[:count]
+                order = np.sort((order << np.uint64(48)) | values)[:count]
                 keys.append((order & np.uint64((1 << 48) - 1)).astype(np.int64))
                 ids.append(np.full(count, one))
                 sizes.append(np.full(count, len(values)))
@@ -134,12 +136,23 @@ def prefix_lists(sets: DataFrame) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "id", "size", "pos"]
             )
 
-    rows = sets.filter("id is not null").select("id", "shingles").mapInArrow(run, "key long, id long, size int, pos int")
-    from pyspark.sql import Window as W
+    return sets.filter("id is not null").select("id", "shingles").mapInArrow(run, "key long, id long, size int, pos int")
+
 
+def prefix_lists(sets: DataFrame) -> DataFrame:
+    """(key, id, size, pos, side) of the prefix shingles that two different sets at least have.
+
+    A first round finds which prefix shingles are shared at all, on 31 bits of keys and ids, as it only
+    improves the order: in the second round those come last, so most sets drop out of all lists.
+    """
+    context = sets.sparkSession.sparkContext
+    levels = context.broadcast(rarity(sets))
+    short = prefixes(sets, levels).select(*[F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(c) for c in ("key", "id")])
+    shared = short.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
+    shared = context.broadcast(sieve(shared.select(F.col("key").cast("long").alias("key"))))
     list_of = W.partitionBy("key")
-    shared = rows.withColumn("least", F.min("id").over(list_of)).withColumn("most", F.max("id").over(list_of)).filter("least <> most")
-    return shared.dropDuplicates(["key", "id"]).select("key", "id", "size", "pos", F.lit(2).alias("side"))
+    rows = prefixes(sets, levels, shared).withColumn("least", F.min("id").over(list_of)).withColumn("most", F.max("id").over(list_of))
+    return rows.filter("least <> most").dropDuplicates(["key", "id"]).select("key", "id", "size", "pos", F.lit(2).alias("side"))
 
 
 def possible(x: str, y: str):

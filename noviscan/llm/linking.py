@@ -5,8 +5,8 @@ index row and a probe row (``side`` 0 and 1, or 2 for both) meet under a key. Wh
 
 1. Every probe of a list is compared with one leader of the list only, so a list of g near copies costs g
    comparisons. The links found give first components.
-2. A list with one component is finished. In the others, members outside the list's largest component are
-   compared with one member of it, another one in each list.
+2. A list with one component is finished. A member outside the largest component of its lists is compared
+   with one member of it in ``SAMPLES`` of these lists.
 3. What is left are pairs of different components; two members of the largest component of a list never
    meet. Where both were compared with the same leader, the triangle inequality answers for most of them.
 
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from noviscan.llm.base import written
 
+#: Lists in which an item outside the largest component is compared with a member of it.
+SAMPLES = 3
+
 Verify = Callable[[DataFrame], DataFrame]
 
 
@@ -45,6 +48,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) after more ``links`` (a, b): only components that these join are worked on again."""
+    of_a, of_b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+    joined = links.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left")
+    joined = joined.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a <> b").distinct()
+    joined = written(joined, "joined-roots")
+    if joined.isEmpty():
+        return roots
+    ends = joined.select(F.col("a").alias("id")).union(joined.select(F.col("b").alias("id"))).withColumn("root", F.col("id"))
+    above = components(joined).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    known = roots.unionByName(ends).distinct().join(above, "root", "left")
+    return written(known.select("id", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def linked_components(
     lists: DataFrame, verify: Verify, possible: Callable[[str, str], Column], block: Column, reach: int, limit: float | None = None
 ) -> DataFrame:
@@ -68,12 +85,14 @@ def linked_components(
     if open_lists.isEmpty():
         return first
     outside = open_lists.filter("root <> top and side in (1, 2)")
+    picks = [F.min_by(F.struct("key", "block", "size", "pos"), F.xxhash64("key", F.lit(k))) for k in range(SAMPLES)]
+    outside = outside.groupBy("id").agg(F.array_distinct(F.array(*picks)).alias("picks")).select("id", F.inline("picks"))
     inside = open_lists.filter("root = top and side in (0, 2)").groupBy("key", "block")
     samples = written(inside.agg(F.min_by(F.struct("id", "size", "pos"), F.xxhash64("id", "key")).alias("y")).select("key", "block", "y.*"), "samples")
     met = outside.alias("x").join(samples.alias("y"), ["key", "block"]).filter(possible("x", "y"))
     second = written(ordered(met).distinct().join(tested, ["a", "b"], "left_anti"), "sample-pairs")
-    tested = tested.union(written(verify(second), "tested"))
-    roots = components(tested.filter("linked"))
+    again = written(verify(second), "tested")
+    roots, tested = extended(first, again.filter("linked")), tested.union(again)
 
     if limit is not None:
         open_lists = with_leader(open_lists, leaders, tested)
@@ -91,8 +110,7 @@ def linked_components(
         met = ordered(met.filter("x.root <> y.root").filter(possible("x", "y")).filter(~answered))
         pairs = met if pairs is None else pairs.union(met)
     rest = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
-    more = written(verify(rest), "tested")
-    return components(tested.union(more).filter("linked"))
+    return extended(roots, verify(rest).filter("linked"))
 
 
 def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
