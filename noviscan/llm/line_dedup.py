@@ -99,6 +99,14 @@ def within(a: str, b: str, distance: int = DISTANCE) -> bool:
     return score <= distance
 
 
+def bigram_parity(codes: np.ndarray) -> int:
+    """64 bits, one per bucket of character pairs: odd or even count. An edit changes four pairs at most,
+    so lines within ``distance`` edits differ in at most 4 x ``distance`` bits."""
+    pairs = codes[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + codes[1:].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    odd = np.bincount((pairs >> np.uint64(58)).astype(np.int64), minlength=64) & 1
+    return int(np.packbits(odd.astype(np.uint8)).view(">i8")[0])
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(row, doc_id, ids) per row of ``docs`` (row, doc_id, text): the id of each line, null where it is empty."""
 
@@ -112,14 +120,17 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
 
 
 def segment_lists(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(key, id, size, pos, side) of the segments and substrings that two different lines at least have."""
+    """(key, id, size, pos, side) of the segments and substrings that two different lines at least have.
+
+    ``pos`` is the parity of the line's character pairs, which rules most other pairs of a list out.
+    """
 
     def run(batches):
         plans: dict[int, list] = {}
         seen: set[int] = set()
         mix = xxhash.xxh3_64_intdigest
         for batch in slices(batches, 128):
-            keys, ids, sizes, sides = [], [], [], []
+            keys, ids, sizes, sides, marks = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 for line in lines_of(text):
                     if len(line) < LEAST_CHARS or (one := line_id(line)) in seen:
@@ -134,16 +145,17 @@ def segment_lists(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
                         sides.append(side)
                     ids += [one] * len(plan)
                     sizes += [len(line)] * len(plan)
+                    marks += [bigram_parity(np.frombuffer(raw, np.uint32))] * len(plan)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sides, pa.int8())],
-                ["key", "id", "size", "side"],
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sides, pa.int8()), pa.array(marks, pa.int64())],
+                ["key", "id", "size", "side", "pos"],
             )
 
-    rows = docs.select(text_of().alias("text")).mapInArrow(run, "key long, id long, size int, side byte")
+    rows = docs.select(text_of().alias("text")).mapInArrow(run, "key long, id long, size int, side byte, pos long")
     list_of = W.partitionBy("key")
     shared = rows.withColumn("least", F.min("id").over(list_of)).withColumn("most", F.max("id").over(list_of))
     shared = shared.withColumn("index", F.max("side").over(list_of)).filter("least <> most and index = 2")
-    return shared.groupBy("key", "id").agg(F.first("size").alias("size"), F.max("side").cast("int").alias("side")).withColumn("pos", F.lit(0))
+    return shared.groupBy("key", "id").agg(F.first("size").alias("size"), F.max("side").cast("int").alias("side"), F.first("pos").alias("pos"))
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -181,7 +193,8 @@ def near_lines(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         return both.withColumn("distance", F.lit(None).cast("double"))
 
     def possible(x: str, y: str):
-        return F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= distance
+        near = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= distance
+        return near & (F.bit_count(F.col(f"{x}.pos").bitwiseXOR(F.col(f"{y}.pos"))) <= 4 * distance)
 
     return linked_components(lists, verify, possible, F.lit(0), 0)
 

@@ -273,6 +273,9 @@ def edits(a, b):
 def test_banded_distance_and_segments(a, b, distance):
     near = edits(a, b) <= distance
     assert line_dedup.within(a, b, distance) == near
+    if near and min(len(a), len(b)) > 1:
+        x, y = (line_dedup.bigram_parity(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in (a, b))
+        assert (x ^ y).bit_count() <= 4 * distance if (x ^ y) >= 0 else ((x ^ y) + (1 << 64)).bit_count() <= 4 * distance
     if near and min(len(a), len(b)) > distance:
         short, long = sorted((a, b), key=len)
         own = {(len(short), k, short[p : p + n]) for k, (p, n) in enumerate(line_dedup.segments(len(short), distance))}
