@@ -2,8 +2,9 @@
 
 Base spans (e-mail, IP, card and phone numbers) are the protected entities. From the corpus, the pointwise
 mutual information of a term and an entity tells how much of the entity's information content the term
-reveals: PMI(t, e) / IC(e), 1 where the term occurs with the entity only. In the documents that hold the
-entity, terms above one threshold are generalised and those above a second are removed.
+reveals: PMI(t, e) / IC(e), 1 where the term occurs with the entity only. All counts are numbers of distinct
+texts, and a term occurs with an entity where a text holds both, however far apart. In the documents that hold
+the entity, terms above one threshold are generalised and those above a second are removed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from noviscan.llm.base import query, sieve, sifted, slices, table, text_of, written
 
-CONTEXT_WORDS = 6
+#: A term must occur with an entity in so many distinct texts.
 LEAST_CONTEXTS = 2
 GENERALISE_FROM = 0.6
 REMOVE_FROM = 0.9
@@ -70,96 +71,105 @@ def term_hash(term: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), seed=42)).astype(np.int64))
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, list[str]]]:
-    """Per base span its entity and the terms among the words around it; nothing inside a span is a term."""
-    out, taken = [], [(a, b) for _, a, b in spans]
-    for kind, a, b in spans:
-        left = text[max(0, a - 40 * CONTEXT_WORDS) : a].split(" ")[-CONTEXT_WORDS - 1 :]
-        right = text[b : b + 40 * CONTEXT_WORDS].split(" ")[: CONTEXT_WORDS + 1]
-        begin, end = a - len(" ".join(left)), b + len(" ".join(right))
-        words = {
-            m[0].lower() for m in TERM.finditer(text, begin, end) if not any(x < m.end() and m.start() < y for x, y in taken)
-        }
-        out.append((f"{kind}:{text[a:b].lower()}", sorted(words)))
-    return out
+def terms_in(text: str) -> set[str]:
+    return {w.lower() for w in set(TERM.findall(text))}
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """Every document with its base spans; the text goes on only where there are some."""
+    """Every document with its base spans and the hash of its text; text and terms go on only where there are some."""
     schema = (
         "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-        "contexts array<struct<entity:string,terms:array<string>>>, text string"
+        "entities array<string>, terms array<string>, key long, text string"
     )
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "contexts", "text"]
-    nested = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
-    types = [*[pa.int64()] * 5, pa.string(), nested, pa.string()]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms", "key", "text"]
+    types = [*[pa.int64()] * 5, pa.string(), *[pa.list_(pa.string())] * 2, pa.int64(), pa.string()]
 
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, key in zip(*[c.to_pylist() for c in batch.columns]):
                 spans = base_spans(text)
                 counts = Counter(kind for kind, _, _ in spans)
-                near = [{"entity": e, "terms": t} for e, t in contexts(text, spans)]
-                rows.append((doc_id, *[counts[k] for k in KINDS], ",".join(f"{k}:{a}:{b}" for k, a, b in spans), near, text if spans else None))
+                base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+                entities = sorted({f"{k}:{text[a:b].lower()}" for k, a, b in spans})
+                terms, kept = (sorted(terms_in(text)), text) if spans else ([], None)
+                rows.append((doc_id, *[counts[k] for k in KINDS], base, entities, terms, key, kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.xxhash64(text_of()).alias("key")).mapInArrow(run, schema)
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many of all documents each of ``terms`` occurs.
+def document_frequencies(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, df): in how many distinct texts each of ``terms`` occurs; ``copied`` has the keys of repeated texts.
 
     Tasks count the terms that pass a sieve of fixed size, so a few others are among the rows; the join that
-    uses the counts drops them. A task sends its counts when they are many, and at its end.
+    uses the counts drops them. A task sends its counts when they are many, and at its end. What may be a copy
+    is sent by text and term, which leaves one row of each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sieve(terms.select(F.xxhash64("term").alias("key"))))
+    shared = docs.sparkSession.sparkContext.broadcast((sieve(terms.select(F.xxhash64("term").alias("key"))), sieve(copied)))
 
     def count(batches):
         known: dict[str, bool] = {}
         found: Counter[str] = Counter()
+        wanted, repeated = shared.value
 
-        def counts():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"]
-            )
+        def rows(copies, terms, numbers):
+            columns = zip((copies, terms, numbers), (pa.int64(), pa.string(), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["copy", "term", "n"])
 
         for batch in slices(batches):
-            texts = [set(TERM.findall(text.lower())) for text in batch.column(0).to_pylist()]
+            texts = [set(TERM.findall(text)) for text in batch.column(0).to_pylist()]
             new = list({w for words in texts for w in words if w not in known})
             if len(known) + len(new) > KEPT_WORDS:
                 known.clear()
                 new = list({w for words in texts for w in words})
-            known.update(zip(new, sifted(shared.value, np.array([term_hash(w) for w in new], np.int64)).tolist() if new else ()))
-            for words in texts:
-                found.update(w for w in words if known[w])
+            hashes = np.array([term_hash(w.lower()) for w in new], np.int64)
+            known.update(zip(new, sifted(wanted, hashes).tolist() if new else ()))
+            keys, copies = batch.column(1).to_numpy(), []
+            for words, key, may_repeat in zip(texts, keys.tolist(), sifted(repeated, keys).tolist()):
+                held = {w.lower() for w in words if known[w]}
+                if may_repeat:
+                    copies += [(key, w) for w in held]
+                else:
+                    found.update(held)
+            if copies:
+                yield rows(*zip(*copies), [1] * len(copies))
             if len(found) > KEPT_WORDS:
-                yield counts()
+                yield rows([None] * len(found), list(found), list(found.values()))
                 found.clear()
-        yield counts()
+        yield rows([None] * len(found), list(found), list(found.values()))
 
-    per_task = docs.select(text_of().alias("text")).mapInArrow(count, "term string, n long")
-    return per_task.groupBy("term").agg(F.sum("n").alias("df"))
+    per_task = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("key")).mapInArrow(count, "copy long, term string, n long")
+    per_text = per_task.groupBy("copy", "term").agg(F.sum("n").alias("n"))
+    return per_text.groupBy("term").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("df"))
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, share): terms that reveal at least ``GENERALISE_FROM`` of an entity's information.
 
-    Contexts with the same words count once, so copies of a document are no evidence; a term needs
-    ``LEAST_CONTEXTS`` different contexts.
+    N, n_e, n_te and df count distinct texts, so copies of a document are no evidence, for or against; a term
+    needs ``LEAST_CONTEXTS`` texts with the entity. Words inside an entity count like any other.
+
+    Before all texts are counted, df among the texts that hold entities rules pairs out: it is at most the
+    whole df, and the share falls with df.
     """
-    near = found.select(F.explode("contexts").alias("c")).select(
-        "c.entity", "c.terms", F.xxhash64(F.col("c.terms")).alias("context")
-    ).distinct()
-    near = written(near, "contexts")
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = written(pairs.filter(F.col("n_te") >= LEAST_CONTEXTS), "term-pairs")
-    total = docs.count()
-    counted = pairs.join(document_frequencies(docs, pairs.select("term").distinct()), "term").join(entities, "entity")
-    n, info = F.lit(float(max(total, 2))), F.log2(F.lit(float(max(total, 2))) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * n / (F.greatest("df", "n_te") * F.col("n_e")))
+    per_text = written(found.groupBy("key").agg(F.count("*").alias("copies")), "texts")
+    total = float(max(per_text.count(), 2))
+    near = written(found.filter("text is not null").select("key", "entities", "terms").dropDuplicates(["key"]), "contexts")
+    held = near.select("key", F.explode("entities").alias("entity"))
+    counts = held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= LEAST_CONTEXTS)
+    counts = written(counts, "entities-repeated")
+    held = held.join(counts, "entity").groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    pairs = near.select("key", "terms").join(held, "key").select(F.explode("entities").alias("entity"), "terms")
+    pairs = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = pairs.filter(F.col("n_te") >= LEAST_CONTEXTS).join(counts, "entity")
+    info = F.log2(F.lit(total) / F.col("n_e"))
+    pmi = F.log2(F.col("n_te") * F.lit(total) / (F.greatest("df", "n_te") * F.col("n_e")))
     share = F.when(info > 0, pmi / info).otherwise(0.0)
+    among = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    pairs = written(pairs.join(among, "term").filter(share >= GENERALISE_FROM).drop("df"), "term-pairs")
+    copied = per_text.filter("copies > 1").select("key")
+    counted = pairs.join(document_frequencies(docs, pairs.select("term").distinct(), copied), "term")
     return counted.select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE_FROM)
 
 
@@ -184,11 +194,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = written(find_entities(docs), "entities").withColumn("row", F.monotonically_increasing_id())
     found = written(found, "entities-numbered")
     holders = found.filter("text is not null")
-    revealing = written(disclosures(docs, holders), "disclosures")
-    held = holders.select("row", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
+    revealing = written(disclosures(docs, found), "disclosures")
+    held = holders.select("row", F.explode("entities").alias("entity"))
     terms = held.join(revealing, "entity").groupBy("row", "term").agg(F.max("share").alias("share"))
     terms = terms.groupBy("row").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
-    joined = holders.join(terms, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "terms", "text")
+    joined = holders.drop("terms").join(terms, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "terms", "text")
 
     def run(batches):
         for batch in slices(batches):

@@ -256,6 +256,40 @@ def test_terms_that_reveal_an_entity_are_marked(spark):
     assert all(rows[k].spans == "" and rows[k].sanitised is None for k in range(4, 44))
 
 
+def test_copies_do_not_hide_what_reveals_an_entity(spark):
+    """Two texts in some hundred copies each: every count is one of texts, so the name still tells all."""
+    texts = [f"{w} asks Zorblatt at zb@corp.example for news" for w in ("alpha", "beta")] * 200
+    texts += [f"one common sentence about nothing {k}" for k in range(60)]
+    rows = {r.doc_id: r for r in sanitise.sanitise(docs_of(spark, texts)).collect()}
+    for k in range(400):
+        start = texts[k].index("Zorblatt")
+        assert f"removed:{start}:{start + 8}" in rows[k].spans and "Zorblatt" not in rows[k].sanitised
+
+
+def test_shares_equal_counts_by_hand(spark):
+    seeded = random.Random(12)
+    names = ["aa@x.example", "bb@x.example", "10.1.2.3", "+1 (555) 123-4567"]
+    vocabulary = ["".join(seeded.choice("bcdfgklm") for _ in range(3 + k % 4)).title() for k in range(150)]
+    texts = []
+    for _ in range(300):
+        words = [vocabulary[int(len(vocabulary) * seeded.random() ** 2)] for _ in range(seeded.randrange(5, 60))]
+        if seeded.random() < 0.15:
+            words.insert(seeded.randrange(len(words)), seeded.choice(names))
+        texts += [" ".join(words)] * seeded.choice([1, 1, 1, 2, 9])
+    frame = docs_of(spark, texts)
+    got = {(r.entity, r.term): r.share for r in sanitise.disclosures(frame, written(sanitise.find_entities(frame), "found")).collect()}
+    held = {t: ({f"{k}:{t[a:b].lower()}" for k, a, b in plain_spans(t)}, set(re.findall(r"[^\W\d_]{3,}", t.lower()))) for t in set(texts)}
+    n, want = len(held), {}
+    for e in {e for entities, _ in held.values() for e in entities}:
+        own = [terms for entities, terms in held.values() if e in entities]
+        for term, n_te in collections.Counter(w for terms in own for w in terms).items():
+            df = sum(term in terms for _, terms in held.values())
+            share = math.log2(n_te * n / (df * len(own))) / math.log2(n / len(own))
+            if n_te >= 2 and share >= 0.6:
+                want[e, term] = share
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # ---- line deduplication
 
 
