@@ -290,6 +290,18 @@ def test_shares_equal_counts_by_hand(spark):
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_far_names_and_signature_blocks_reveal_an_entity(spark):
+    """A name sentences away from the address, and the same words around the address in otherwise different texts."""
+    filler = "Nothing of note was said in this part, which goes on for quite a while without an end. " * 6
+    far = [f"Zorblatt spoke on {w}. {filler} Write to zb@corp.example now" for w in ("mondays", "tuesdays", "fridays")]
+    block = [f"Report {k} on {w}. {filler} Regards, Fnordquist, fq@corp.example" for k, w in enumerate(("hats", "cats", "bats"))]
+    texts = far + block + [f"{filler} {k}" for k in range(40)]
+    rows = {r.doc_id: r for r in sanitise.sanitise(docs_of(spark, texts)).collect()}
+    for k, name in [*((k, "Zorblatt") for k in range(3)), *((k, "Fnordquist") for k in range(3, 6))]:
+        start = texts[k].index(name)
+        assert f"removed:{start}:{start + len(name)}" in rows[k].spans and name not in rows[k].sanitised
+
+
 # ---- line deduplication
 
 
