@@ -4,10 +4,16 @@ A seed is a hash of the words at the positions of a mask; words between them are
 below are lossless: every window of ``WINDOW`` words with at most ``WINDOW - LEAST`` substituted ones holds
 all words of at least one mask (checked in the tests over all substitutions). Seeds of documents are joined
 with those of the benchmark; around every hit the two texts are compared word by word along the diagonal.
+
+A shorter item is a window of its own length with the same share of equal words; it has short masks, as many
+as are lossless for it. What of a window lies beyond the ends of the document counts as substituted.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +27,8 @@ LEAST = 16
 MASKS = ("1101111", "1100010111", "10110111")
 SHORTEST_ITEM = 5
 SHORT_MASK = "11111"
+#: For items below ``WINDOW`` words with substitutions; the longer ones need the first only.
+SHORT_MASKS = ("1111", "11101", "11011", "10111")
 ITEMS_PER_BLOCK = 20_000
 WORDS_PER_BLOCK = 2_000_000
 FILTER_BITS = 22
@@ -38,19 +46,41 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def least_equal(n: int) -> int:
+    """How many words of an item of ``n`` must be equal, in a window of at most ``WINDOW``."""
+    return -(-min(n, WINDOW) * LEAST // WINDOW)
+
+
+def lossless(n: int, masks: tuple[str, ...], missing: int) -> bool:
+    """Whether ``n`` words with any ``missing`` substituted ones hold all words of a mask."""
+    laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in masks for s in range(n - len(m) + 1)]
+    return all(any(seed.isdisjoint(gone) for seed in laid) for gone in combinations(range(n), missing))
+
+
+@cache
+def short_masks(n: int) -> tuple[str, ...]:
+    """The fewest of ``SHORT_MASKS``, in their order, that find an item of ``n`` words."""
+    return next(m for k in range(1, 5) if lossless(n, m := SHORT_MASKS[:k], n - least_equal(n)))
+
+
 class Block:
-    """The seeds and words of a bounded number of benchmark items."""
+    """The seeds and words of a bounded number of benchmark items; short items ``tolerant`` of substitutions or whole."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
+    def __init__(self, items: list[tuple[int, np.ndarray]], tolerant: bool = False):
+        self.items, self.tolerant = items, tolerant
         # an item that must occur whole is found by one seed at its begin
         whole = [n for n in (len(words) for _, words in items) if SHORTEST_ITEM <= n < WINDOW]
-        self.masks = [*MASKS, *[SHORT_MASK for n in whole[:1] if min(whole) < len(MASKS[0])]]
+        if tolerant:
+            self.masks = [*MASKS, *SHORT_MASKS[: max((len(short_masks(n)) for n in set(whole)), default=0)]]
+        else:
+            self.masks = [*MASKS, *[SHORT_MASK for n in whole[:1] if min(whole) < len(MASKS[0])]]
         parts = []
         for number, (_, words) in enumerate(items):
             wanted = range(len(MASKS)) if len(words) >= WINDOW else [0] if len(words) >= len(MASKS[0]) else range(len(MASKS), len(self.masks))
+            if tolerant and len(words) < WINDOW:
+                wanted = [len(MASKS) + k for k in range(len(short_masks(len(words))))] if len(words) >= SHORTEST_ITEM else []
             for kind in wanted:
-                found = seeds(words, self.masks[kind])[: None if len(words) >= WINDOW else 1]
+                found = seeds(words, self.masks[kind])[: None if tolerant or len(words) >= WINDOW else 1]
                 parts.append((found, np.full(len(found), kind), np.full(len(found), number), np.arange(len(found))))
         self.hashes, self.kinds, self.numbers, self.places = (
             np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64 if not k else np.int64) for k in range(4)
@@ -76,20 +106,20 @@ class Block:
         """(start in document, start in item, words, equal words) of the best overlap on a diagonal."""
         item = self.items[number][1]
         begin, end = max(0, -diagonal), min(len(item), len(words) - diagonal)
-        equal = item[begin:end] == words[begin + diagonal : end + diagonal]
-        if len(item) < WINDOW:
-            return (diagonal, 0, len(item), len(item)) if end - begin == len(item) and equal.all() else None
-        if len(equal) < WINDOW:
-            return None
+        equal = np.zeros(len(item), bool)
+        equal[begin:end] = item[begin:end] == words[begin + diagonal : end + diagonal]
+        if len(item) < WINDOW and not self.tolerant:
+            return (diagonal, 0, len(item), len(item)) if equal.all() else None
+        window = min(len(item), WINDOW)
         sums = np.concatenate([[0], np.cumsum(equal)])
-        good = sums[WINDOW:] - sums[:-WINDOW] >= LEAST
+        good = sums[window:] - sums[:-window] >= least_equal(len(item))
         best = None
-        for run in np.split(np.flatnonzero(good), np.flatnonzero(np.diff(np.flatnonzero(good)) > WINDOW) + 1):
+        for run in np.split(np.flatnonzero(good), np.flatnonzero(np.diff(np.flatnonzero(good)) > window) + 1):
             if len(run):
-                a, b = int(run[0]), int(run[-1]) + WINDOW
+                a, b = int(run[0]), int(run[-1]) + window
                 inside = np.flatnonzero(equal[a:b])
                 a, b = a + int(inside[0]), a + int(inside[-1]) + 1
-                found = (a + begin + diagonal, a + begin, b - a, int(sums[b] - sums[a]))
+                found = (a + diagonal, a, b - a, int(sums[b] - sums[a]))
                 if best is None or found[3] > best[3]:
                     best = found
         return best
@@ -109,13 +139,15 @@ def benchmark_blocks(benchmark: DataFrame):
     yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, tolerant: bool = False) -> DataFrame:
     """One row per pair of a document row (doc_id, text) and an item with a verified overlap.
 
     ``doc_start``, ``item_start``, ``n_words`` and ``n_equal`` place the overlap with most equal words, in
-    words; ties go to the first. An overlap is a run of windows of 20 words with at least 16 equal ones.
-    Items of fewer than 20 words must occur whole and unchanged; items of fewer than 5 words, and null or
-    empty texts, never match. Repeated rows are reported each. An item id may be null.
+    words; ties go to the first. An overlap is a run of windows of 20 words with at least 16 equal ones, where
+    words beyond an end of the document are not equal. Items of fewer than 20 words must occur whole and
+    unchanged, or if ``tolerant`` with four of five words equal (rounded up), as the query and the stage ask;
+    items of fewer than 5 words, and null or empty texts, never match. Repeated rows are reported each. An
+    item id may be null.
 
     Documents are compared inside the scan, without a shuffle, whatever share of them holds one passage.
     """
@@ -126,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            words, block = LooseWords(), Block(shared.value)
+            words, block = LooseWords(), Block(shared.value, tolerant)
             for batch in slices(batches):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -146,10 +178,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 @query("op1_decontamination")
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), tolerant=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: documents that overlap no benchmark item go on."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"), tolerant=True).select("doc_id").distinct()
     return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")

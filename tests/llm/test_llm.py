@@ -207,6 +207,50 @@ def test_decontamination_edges(spark, odd, none, monkeypatch):
     assert decontamination.contaminated(odd, benchmark).count() == 4
 
 
+def test_short_masks_are_lossless():
+    for n in range(decontamination.SHORTEST_ITEM, decontamination.WINDOW):
+        masks = decontamination.short_masks(n)
+        laid = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in masks for s in range(n - len(m) + 1)]
+        for missing in itertools.combinations(range(n), n - math.ceil(n * 4 / 5)):
+            assert any(seed.isdisjoint(missing) for seed in laid)
+
+
+def tolerant_overlaps(document, item):
+    """All diagonals, all windows of at most 20 words; words beyond the ends of the document are not equal."""
+    n = min(len(item), 20)
+    if n < 5:
+        return False
+    for diagonal in range(-len(item), len(document) + 1):
+        equal = [0 <= k + diagonal < len(document) and document[k + diagonal] == w for k, w in enumerate(item)]
+        if any(5 * sum(equal[k : k + n]) >= 4 * n for k in range(len(item) - n + 1)):
+            return True
+    return False
+
+
+def test_short_items_and_cut_passages_equal_brute_force(spark, tmp_path):
+    seeded = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [[seeded.choice(vocabulary) for _ in range(n)] for n in range(4, 22)] + [[seeded.choice(vocabulary) for _ in range(60)]]
+    texts = []
+    for item in items:
+        for edits in range(6):
+            copy = list(item)
+            for k in seeded.sample(range(len(copy)), min(edits, len(copy))):
+                copy[k] = "other"
+            texts.append([seeded.choice(vocabulary) for _ in range(12)] + copy + [seeded.choice(vocabulary) for _ in range(9)])
+        for cut in (1, 2, 3, 4, 5):
+            texts += [[seeded.choice(vocabulary) for _ in range(12)] + item[:-cut], item[cut:] + [seeded.choice(vocabulary) for _ in range(12)]]
+    long = items[-1]
+    texts += [x for n in range(14, 21) for x in (["start"] + long[:n], long[-n:] + ["end"], long[20 : 20 + n])]
+    docs = docs_of(spark, [" ".join(t) for t in texts])
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(d, k) for d, t in enumerate(texts) for k, item in enumerate(items) if tolerant_overlaps(t, item)}
+    assert {(r.doc_id, r.item_id) for r in decontamination.op1_decontamination(spark, str(tmp_path)).collect()} == want
+    kept = {r.doc_id for r in decontamination.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
+
+
 # ---- sanitisation
 
 
