@@ -1,7 +1,8 @@
 """Main text of web pages by the container paths a host's pages agree on.
 
 Each page scores its containers and votes for the generalised tag-class path of the best one. Spark sums the
-votes per host and path; every page is then extracted again from the winning path that holds its text.
+votes per host and path; every page is then extracted again from the winning path that holds its text, united
+with the page's own best container.
 """
 
 from __future__ import annotations
@@ -190,9 +191,9 @@ def text_under(blocks: list[tuple[Node, str]], chosen: set[int]) -> str:
 
 
 def main_text(page: str, paths: list[str]) -> str:
-    """Text of the first winning path that holds its share of the page, else of the page's own best container.
+    """Text of the first winning path that holds its share of the page, and of the page's own best container.
 
-    Pages without container, such as plain text, give all their blocks.
+    Both are kept, in the order of the page, as either may hold a part of the article that the other lacks. Pages without container, such as plain text, give all their blocks.
     """
     nodes, blocks = parse(page)
     best = best_container(nodes)
@@ -201,7 +202,7 @@ def main_text(page: str, paths: list[str]) -> str:
     for path in paths:
         chosen = [n for n in nodes if n.path == path and not n.noise]
         if chosen and sum(n.value for n in chosen if not _inside_of(n, chosen)) >= LEAST_SHARE * best.value:
-            return text_under(blocks, {id(n) for n in chosen})
+            return text_under(blocks, {id(best), *(id(n) for n in chosen)})
     return text_under(blocks, {id(best)})
 
 

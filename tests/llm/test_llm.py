@@ -476,6 +476,18 @@ def test_html_consensus_outvotes_a_page(spark):
     assert all(got[k].startswith(f"Title {k}") for k in range(9))
 
 
+def test_html_article_split_over_two_containers(spark):
+    """A page of a minority template has two fifths of its article outside the container that the host votes for."""
+    usual = "<html><body><main><article>" + "<p>Usual words of the article of this page.</p>" * 10 + "</article></main></body></html>"
+    parts = [f"<p>Part {k} of ten parts of one long article.</p>" for k in range(10)]
+    split = f"<html><body><main><article>{''.join(parts[:6])}</article><section>{''.join(parts[6:])}</section></main></body></html>"
+    pages = [(k, f"http://h.example/{k}", usual) for k in range(5)] + [(9, "http://h.example/9", split)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert html_consensus.host_paths(frame).first()["paths"][0] == "/html/body/main/article"
+    got = {r.page_id: r.text for r in html_consensus.extract(frame).collect()}
+    assert got[9] == "\n\n".join(p[3:-4] for p in parts) and got[0].count("Usual") == 10
+
+
 def test_html_of_given_pages(spark):
     """The given pages mark their article, so a few plain patterns give the same text."""
     import html
