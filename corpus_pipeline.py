@@ -7,6 +7,7 @@ the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from noviscan.llm.base import table, written
 from noviscan.llm.byte_bpe import bpe_round_trip
@@ -17,8 +18,12 @@ from noviscan.llm.line_dedup import drop_repeated_lines
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage: documents with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers)."""
-    return bpe_round_trip(docs, decode=False).select(*docs.columns, "n_tokens", "ids")
+    """Last stage: documents with ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers) and the ids turned
+    back: the hash of their bytes, and whether these are the text's."""
+    equal = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return bpe_round_trip(docs).select(
+        *docs.columns, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), equal.alias("decoded_equal")
+    )
 
 
 STAGES = [

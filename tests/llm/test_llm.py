@@ -694,6 +694,14 @@ def test_jaccard_edges(spark, odd, none):
 # ---- pipeline
 
 
+def test_last_stage_turns_ids_back(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [None, "", "é漢😀 and words", "words again"]).drop("ids")
+    for row in corpus_pipeline.encode(spark, docs, SF).collect():
+        assert row.decoded_equal and row.decoded_sha256 == hashlib.sha256((row.text or "").encode()).hexdigest()
+
+
 def test_pipeline_stages_follow_brute_force(spark):
     import corpus_pipeline
 
