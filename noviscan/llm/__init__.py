@@ -6,7 +6,8 @@ from noviscan.llm.base import ORACLE, QUERIES
 
 MODULES = (
     "decontamination", "sanitise", "language_id", "byte_bpe", "line_dedup", "html_consensus", "topk_search",
-    "warc_revisit", "token_orc", "jaccard_join",
+    "warc_revisit", "token_orc", "jaccard_join", "prefix_trie",
+    "token_alignment", "best_fit",
 )
 
 for _name in MODULES:
