@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -79,7 +80,7 @@ def byte_marks() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
-def flat(lists: list[list[int]], kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """All ids after each other, and where each list ends (with a leading 0)."""
     ends = np.cumsum([0, *map(len, lists)])
-    return np.fromiter((k for one in lists for k in one), kind, int(ends[-1])), ends
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(ends[-1])), ends

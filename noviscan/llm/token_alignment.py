@@ -1,11 +1,15 @@
 """Alignment of two tokenizers' tokens, with corpus-wide counts of linked id pairs under minimal perfect hashes.
 
-First pass: documents are encoded by both tokenizers (ids kept as a table), cut into groups where tokens of both
-end at the same byte, and each task counts the documents per linked id pair. The distinct pairs are dealt out
-over buckets by hash; each bucket gets a minimal perfect hash (levels of bits: a key stands on the first level
-where no other key of its bucket has its slot, and its rank among all set bits is its number). The counts of
-the tasks become dense vectors indexed by it, which are added up in a tree. Second pass: the documents are
-aligned anew from their ids, and each link's count is looked up and verified by the key stored at its number.
+First pass: documents are encoded by both tokenizers, cut into groups where tokens of both end at the same byte,
+and each task counts the documents per linked id pair. The distinct pairs are dealt out over buckets by hash;
+each bucket gets a minimal perfect hash (levels of bits: a key stands on the first level where no other key of
+its bucket has its slot, and its rank among all set bits is its number). The counts of the tasks become dense
+vectors indexed by it, which are added up in a tree. Second pass: the documents are aligned anew, and each link's
+count is looked up and verified by the key stored at its number.
+
+No group spans a space between two characters that are no white space: the byte-level pattern begins a match
+there, and no piece of the other model has a space behind another character. So texts are cut at these spaces,
+and a task encodes and aligns each distinct word once.
 
 The pairs' table is broadcast up to ``PAIRS_PER_PASS`` pairs. Beyond, buckets are taken in groups of that size and
 each group is one more pass; the sums of a document are added up over the passes.
@@ -13,7 +17,8 @@ each group is one more pass; the sums of a document are added up over the passes
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+import re
 from functools import reduce
 
 import numpy as np
@@ -38,6 +43,12 @@ PENDING = 4_000_000
 LINKS_PER_BLOCK = 4_000_000
 WIDE_GROUP = 1 << 14
 PAIRS_PER_PASS = 16_000_000
+#: Words, and characters of words, that a task keeps aligned.
+KEPT_WORDS = 500_000
+KEPT_CHARS = 16 << 20
+#: Longer words are encoded by themselves.
+PLAIN_CHARS = 200
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 # ---- tokens and groups
@@ -62,43 +73,17 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def encoded(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
-    """(row, doc_id, a, b): each text's ids by both tokenizers as little-endian unsigned 16-bit integers.
-
-    ``row`` tells rows apart whatever their doc_id. Null and empty texts have no ids, nor have texts whose tokens of
-    either side do not give a space and the text, byte by byte. Other columns are not read.
-    """
-
-    def run(batches):
-        left, right = ByteBpe(byte_bpe, names_are_text=True), Pieces(pieces)
-        for batch in sized_slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            spaced = [f" {text}" for text in texts]
-            ids = [left.encode(spaced), right.encode(texts)]
-            for k, text in enumerate(texts):
-                want = spaced[k].encode() if text else None
-                if any(b"".join([model.bytes_of[x] for x in own[k]]) != want for model, own in zip((left, right), ids)):
-                    ids[0][k] = ids[1][k] = []
-            coded = [pa.array([np.array(x, "<u2").tobytes() for x in own], pa.binary()) for own in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *coded], ["row", "doc_id", "a", "b"])
-
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")
-    )
-    return source.mapInArrow(run, "row long, doc_id long, a binary, b binary")
-
-
 class Aligned:
-    """The groups of a slice of documents: ids of both sides, the group of each token, and the document of each group."""
+    """The groups of documents (or words): ids of both sides, the group of each token, and the document of each group."""
 
-    def __init__(self, a_ids: list[bytes], b_ids: list[bytes], a_bytes: np.ndarray, b_bytes: np.ndarray):
-        self.documents = len(a_ids)
-        self.a, self.b = (np.frombuffer(b"".join(x), "<u2").astype(np.int64) for x in (a_ids, b_ids))
+    def __init__(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, a_bytes: np.ndarray, b_bytes: np.ndarray):
+        self.documents = len(a_ends) - 1
+        self.a, self.b = a, b
         a_end, b_end = np.cumsum(a_bytes[self.a]), np.cumsum(b_bytes[self.b])
         shared = np.intersect1d(a_end, b_end, assume_unique=True)
         self.group_a, self.group_b = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
         self.in_a, self.in_b = (np.bincount(x, minlength=len(shared)) for x in (self.group_a, self.group_b))
-        self.n_a, self.n_b = (np.array([len(x) // 2 for x in ids], np.int64) for ids in (a_ids, b_ids))
+        self.n_a, self.n_b = np.diff(a_ends), np.diff(b_ends)
         first = np.cumsum(self.in_a) - self.in_a  # the first token of each group tells its document
         self.document = np.searchsorted(np.cumsum(self.n_a), first, side="right")
 
@@ -150,11 +135,141 @@ class Aligned:
         return [text[x : y - 1] if y > x else b"" for x, y in zip(ends, ends[1:])]
 
 
-def aligned_slices(batches, byte_bpe: str, pieces: str):
-    """Slices of ``encoded`` rows with their alignment."""
-    sizes = [np.array([len(x) for x in model.bytes_of]) for model in (ByteBpe(byte_bpe, True), Pieces(pieces))]
-    for batch in sized_slices(batches, "a", size=1 << 20):
-        yield batch, Aligned(*[batch.column(c).to_pylist() for c in ("a", "b")], *sizes)
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def without(ids: np.ndarray, ends: np.ndarray, void: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists after those that are void became empty."""
+    n = np.diff(ends)
+    return ids[np.repeat(~void, n)], np.cumsum([0, *np.where(void, 0, n)])
+
+
+class Words:
+    """Distinct words of the texts of a task, numbered as they come, and what ``keep`` makes of their alignment.
+
+    A text is its words joined by single spaces. Where too many are held, all are forgotten.
+    """
+
+    CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])").split
+    #: Words that both ways of encoding take alike, and that may stand after one another in one text.
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ](?:[\0-ɏ]*[!-~À-ÖØ-öø-ɏ])?").fullmatch
+
+    def __init__(self, byte_bpe: str, pieces: str):
+        self.a, self.b = ByteBpe(byte_bpe, names_are_text=True), Pieces(pieces)
+        if any("▁" in self.b.model.id_to_piece(k).lstrip("▁") for k in range(self.b.model.get_piece_size())):
+            self.CUT = lambda text: [text]  # a piece may span words: texts stay whole
+        self.sizes = [np.array([len(x) for x in model.bytes_of]) for model in (self.a, self.b)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.at, self.chars, self.void = {}, 0, np.zeros(0, bool)
+
+    def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of all words one after another, where each text's end (with a leading 0), and which texts have none.
+
+        Empty texts have no words, nor have those with a word whose tokens of either side do not give the space
+        before it and the word, byte by byte.
+        """
+        words = [self.CUT(text) if text else [] for text in texts]
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(words)) if w not in self.at]
+        if self.at and (len(self.at) + len(new) > KEPT_WORDS or self.chars > KEPT_CHARS):
+            self.forget()
+            new = list(dict.fromkeys(itertools.chain.from_iterable(words)))
+        self.learn(new)
+        ends = np.cumsum([0, *map(len, words)])
+        flat = np.fromiter(map(self.at.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(ends[-1]))
+        bad = np.add.reduceat(np.append(self.void[flat], False), ends[:-1])[: len(texts)] > 0 if len(flat) else np.zeros(len(texts), bool)
+        bad |= np.diff(ends) == 0
+        keep = np.repeat(~bad, np.diff(ends))
+        return flat[keep], np.cumsum([0, *np.where(bad, 0, np.diff(ends))]), bad
+
+    def learn(self, new: list[str]) -> None:
+        plain = [word for word in new if len(word) <= PLAIN_CHARS and self.PLAIN(word)]
+        if len(plain) < len(new):
+            others = set(new).difference(plain)
+            new = [*plain, *[word for word in new if word in others]]
+        (a, a_ends), (b, b_ends) = self.encoded(new, len(plain)), flat(self.b.encode(new))
+        want = "".join([f" {word}" for word in new]).encode()
+        lengths = np.cumsum([0, *[len(word) if word.isascii() else len(word.encode()) for word in new]]) + np.arange(len(new) + 1)
+        void = np.zeros(len(new), bool)
+        for ids, ends, model, sizes in ((a, a_ends, self.a, self.sizes[0]), (b, b_ends, self.b, self.sizes[1])):
+            given = b"".join(map(model.bytes_of.__getitem__, ids.tolist()))
+            if given != want or (np.cumsum(np.append(0, sizes[ids]))[ends] != lengths).any():
+                void |= [b"".join(map(model.bytes_of.__getitem__, ids[x:y].tolist())) != f" {w}".encode() for x, y, w in zip(ends, ends[1:], new)]
+        if void.any():
+            a, a_ends, b, b_ends = *without(a, a_ends, void), *without(b, b_ends, void)
+        self.at |= zip(new, range(len(self.at), len(self.at) + len(new)))
+        self.chars += sum(map(len, new))
+        self.void = np.concatenate([self.void, void])
+        self.keep(Aligned(a, a_ends, b, b_ends, *self.sizes))
+
+    def encoded(self, new: list[str], plain: int) -> tuple[np.ndarray, np.ndarray]:
+        """A ids of a space and each word; the first ``plain`` words are one text, told apart by their bytes."""
+        some = new[:plain]
+        a = np.array(self.a.fast.encode_ordinary("".join([f" {word}" for word in some])), np.int64)
+        at = np.cumsum([1 + (len(word) if word.isascii() else len(word.encode())) for word in some])
+        ends = np.append(0, np.searchsorted(np.cumsum(self.sizes[0][a]), at) + 1) if some else np.zeros(1, np.int64)
+        rest, rest_ends = flat(self.a.encode([f" {word}" for word in new[plain:]]))
+        return np.concatenate([a, rest]), np.concatenate([ends, len(a) + rest_ends[1:]])
+
+    def keep(self, found: Aligned) -> None:
+        raise NotImplementedError
+
+
+class PairsOfWords(Words):
+    """The distinct linked pairs of each word."""
+
+    def forget(self) -> None:
+        super().forget()
+        self.pairs, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def keep(self, found: Aligned) -> None:
+        own = distinct(np.concatenate([distinct(word << 32 | pair) for word, pair, _ in found.links()]))
+        counts = np.bincount(own >> 32, minlength=found.documents)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.pairs = np.concatenate([self.pairs, own & 0xFFFFFFFF])
+
+    def held(self, texts: list[str]) -> np.ndarray:
+        """The linked pairs of each text, each once a text."""
+        words, ends, _ = self.numbered(texts)
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        once = distinct(text << 32 | words)
+        text, words = once >> 32, once & 0xFFFFFFFF
+        n = self.starts[words + 1] - self.starts[words]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return distinct(np.repeat(text, n) << 32 | self.pairs[np.repeat(self.starts[words], n) + within]) & 0xFFFFFFFF
+
+
+class SumsOfWords(Words):
+    """What each word's alignment and the counts of its links come to."""
+
+    def __init__(self, byte_bpe: str, pieces: str, known: PairTable):
+        self.known = known
+        super().__init__(byte_bpe, pieces)
+
+    def forget(self) -> None:
+        super().forget()
+        self.sums, self.groups = np.zeros((0, len(SUMS)), np.int64), []
+
+    def keep(self, found: Aligned) -> None:
+        n_best, count_sum = np.zeros(found.documents, np.int64), np.zeros(found.documents, np.int64)
+        for word, pair, times in found.links():
+            counts = self.known.look_up(pair)
+            best = (counts > 0) & (counts == self.known.highest[pair // B_IDS])
+            np.add.at(n_best, word, times * best)
+            np.add.at(count_sum, word, times * counts)
+        n_groups = np.bincount(found.document, minlength=found.documents)
+        n_links = found.per_document(found.in_a * found.in_b)
+        self.sums = np.concatenate([self.sums, np.stack([found.n_a, found.n_b, n_groups, n_links, n_best, count_sum], axis=1)])
+        self.groups += found.written_out()
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
+        words, ends, _ = self.numbered(texts)
+        total = np.concatenate([np.zeros((1, len(SUMS)), np.int64), np.cumsum(self.sums[words], axis=0)])
+        flat, at = words.tolist(), ends.tolist()
+        return total[ends[1:]] - total[ends[:-1]], [b";".join([self.groups[w] for w in flat[x:y]]).decode() for x, y in zip(at, at[1:])]
 
 
 # ---- counts under minimal perfect hashes
@@ -214,20 +329,20 @@ class PerfectHash:
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with the sums of their counts."""
-    together = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-    own, at = np.unique(together, return_inverse=True)
-    sums = np.zeros(len(own), np.int64)
-    if len(own):
-        np.add.at(sums, at, np.concatenate(counts))
-    return own, sums
+    together = np.concatenate([*keys, np.zeros(0, np.int64)])
+    order = np.argsort(together, kind="stable")
+    together, sums = together[order], np.cumsum(np.append(0, np.concatenate([*counts, np.zeros(0, np.int64)])[order]))
+    ends = np.flatnonzero(np.append(together[1:] != together[:-1], True)) + 1 if len(together) else np.zeros(0, np.int64)
+    return together[ends - 1], np.diff(np.append(0, sums[ends]))
 
 
-def pair_counts(tokens: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
-    """(bucket, salt, keys, counts) of each task: the documents that hold each linked pair."""
-    salts = max(1, int(tokens.rdd.getNumPartitions() ** 0.5))
+def pair_counts(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
+    """(bucket, salt, keys, counts) of each task over (row, doc_id, text): the documents that hold each linked pair."""
+    salts = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
 
     def run(batches):
         salt = TaskContext.get().partitionId() % salts
+        words = PairsOfWords(byte_bpe, pieces)
         keys, counts, waiting = [], [], 0
 
         def emit():
@@ -243,9 +358,9 @@ def pair_counts(tokens: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECE
             ]
             return pa.RecordBatch.from_arrays(columns, ["bucket", "salt", "keys", "counts"])
 
-        for _, found in aligned_slices(batches, byte_bpe, pieces):
-            held = np.unique(np.concatenate([np.unique(document << 32 | pair) for document, pair, _ in found.links()]))
-            keys.append(held & 0xFFFFFFFF)  # each once a document
+        for batch in sized_slices(batches, "text"):
+            held = words.held(batch.column("text").to_pylist())
+            keys.append(held)
             counts.append(np.ones(len(held), np.int64))
             waiting += len(held)
             if waiting > PENDING:
@@ -257,7 +372,7 @@ def pair_counts(tokens: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECE
         if keys:
             yield emit()
 
-    return tokens.select("a", "b").mapInArrow(run, "bucket long, salt long, keys binary, counts binary")
+    return docs.select("text").mapInArrow(run, "bucket long, salt long, keys binary, counts binary")
 
 
 def perfect_hashes(partials: DataFrame) -> DataFrame:
@@ -333,66 +448,74 @@ class PairTable:
     """Counts of pairs of some buckets, by number under their perfect hashes, each verified by its key."""
 
     def __init__(self, rows: list, highest: np.ndarray):
-        self.rows, self.highest, self.buckets = rows, highest, None
-
-    def load(self) -> None:
-        if self.buckets is None:
-            self.buckets = {
-                r.bucket: (PerfectHash.unpacked(r.sizes, r.bits), np.frombuffer(r.keys, "<u4"), np.frombuffer(r.counts, "<i8")) for r in self.rows
-            }
+        self.highest = highest
+        levels = max([len(r.sizes) for r in rows], default=0)
+        self.sizes, self.starts = np.zeros((levels, BUCKETS), np.uint64), np.zeros((levels, BUCKETS), np.int64)
+        self.here = np.zeros(BUCKETS, bool)
+        flags, keys, counts, at = [], [], [], 0
+        for r in rows:  # one after another, so a rank among all set bits goes through the buckets' vectors
+            self.here[r.bucket] = True
+            for level, size in enumerate(r.sizes):
+                self.sizes[level, r.bucket], self.starts[level, r.bucket] = size, at
+                at += size
+            flags.append(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=sum(r.sizes)).astype(bool))
+            keys.append(np.frombuffer(r.keys, "<u4"))
+            counts.append(np.frombuffer(r.counts, "<i8"))
+        self.bits = np.packbits(np.concatenate([*flags, np.zeros(0, bool)]))
+        self.keys, self.counts = np.concatenate([*keys, np.zeros(0, "<u4")]), np.concatenate([*counts, np.zeros(0, "<i8")])
+        self.rank = None
+
+    def load(self) -> PairTable:
+        if self.rank is None:  # in the task: bits travel packed
+            self.flags = np.unpackbits(self.bits).astype(bool)
+            self.rank = np.cumsum(self.flags, dtype=np.int64) - self.flags
+        return self
 
     def look_up(self, pairs: np.ndarray) -> np.ndarray:
-        """The counts of distinct pairs, 0 for those of other buckets."""
+        """The counts of pairs, 0 for those of other buckets."""
         out, bucket = np.zeros(len(pairs), np.int64), bucket_of(pairs)
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        for k, (found, keys, counts) in self.buckets.items():
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                number = found.number(pairs[at])
-                if (number < 0).any() or (keys[number] != pairs[at]).any():
-                    raise ValueError("a linked pair was not counted")
-                out[at] = counts[number]
+        left = np.flatnonzero(self.here[bucket])
+        for level in range(len(self.sizes)):
+            own, sizes = bucket[left], self.sizes[level]
+            slot = self.starts[level][own] + (mixed(pairs[left], level) % np.maximum(sizes[own], np.uint64(1))).astype(np.int64)
+            found = self.flags[slot] & (sizes[own] > 0)
+            number = self.rank[slot[found]]
+            if (self.keys[number] != pairs[left[found]]).any():
+                raise ValueError("a linked pair was not counted")
+            out[left[found]] = self.counts[number]
+            left = left[~found]
+            if not len(left):
+                break
+        if len(left):
+            raise ValueError("a linked pair was not counted")
         return out
 
 
-def link_sums(tokens: DataFrame, known: PairTable, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
-    """Second pass over ``encoded`` rows: what each document's alignment and its links' counts come to."""
-    shared = tokens.sparkSession.sparkContext.broadcast(known)
-    sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+def link_sums(docs: DataFrame, known: PairTable, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
+    """Second pass over (row, doc_id, text): each document's groups and what the counts of its links come to."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        table = shared.value
-        table.load()
-        for batch, found in aligned_slices(batches, byte_bpe, pieces):
-            n_best, count_sum = np.zeros(found.documents, np.int64), np.zeros(found.documents, np.int64)
-            for document, pair, times in found.links():
-                own, at = np.unique(pair, return_inverse=True)
-                counts = table.look_up(own)
-                best = (counts > 0) & (counts == table.highest[own // B_IDS])
-                np.add.at(n_best, document, times * best[at])
-                np.add.at(count_sum, document, times * counts[at])
-            n_groups = found.per_document(np.ones(len(found.document), np.int64))
-            n_links = found.per_document(found.in_a * found.in_b)
-            digests = [hashlib.sha256(x).hexdigest() if x else "" for x in found.written_out()]
-            columns = [pa.array(x) for x in (found.n_a, found.n_b, n_groups, n_links, n_best, count_sum)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *columns, pa.array(digests, pa.string())], ["row", "doc_id", *sums, "groups_sha256"]
-            )
-
-    return tokens.mapInArrow(run, ", ".join(["row long", "doc_id long", *[f"{c} long" for c in sums], "groups_sha256 string"]))
+        words = SumsOfWords(byte_bpe, pieces, shared.value.load())
+        for batch in sized_slices(batches, "text"):
+            sums, groups = words.of(batch.column("text").to_pylist())
+            columns = [*batch.columns[:2], *[pa.array(c) for c in sums.T], pa.array(groups, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", *SUMS, "groups"])
+
+    return docs.mapInArrow(run, ", ".join(["row long", "doc_id long", *[f"{c} long" for c in SUMS], "groups string"]))
 
 
 def aligned_documents(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, pairs_per_pass: int = PAIRS_PER_PASS) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per row of ``docs`` (doc_id, text).
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) per row of ``docs`` (doc_id, text).
 
     Groups are the shortest runs of bytes at whose end tokens of both sides end; all A and B tokens of a group are
-    linked. A pair's count is the number of rows of ``docs`` that hold it linked; ``n_best`` counts the links whose
-    count is the highest of their A id, ties included. Texts without tokens (see ``encoded``) have zeros and ''.
-    Repeated rows count each; an empty table gives no rows; other columns are not read.
+    linked. ``groups`` lists their ids as ``a1,a2|b1;a3|b2,b3``. A pair's count is the number of rows of ``docs`` that hold
+    it linked; ``n_best`` counts the links whose count is the highest of their A id, ties included. Null and empty
+    texts have zeros and '', and so have texts whose tokens of either side do not give a space and the text, byte by
+    byte. Repeated rows count each; an empty table gives no rows; other columns are not read.
     """
-    tokens = written(encoded(docs, byte_bpe, pieces), "token-ids")
-    partials = written(pair_counts(tokens, byte_bpe, pieces), "pair-counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    partials = written(pair_counts(rows, byte_bpe, pieces), "pair-counts")
     hashes = written(perfect_hashes(partials), "pair-hashes")
     counted = written(dense_counts(partials, hashes), "dense-counts")
     highest = highest_counts(counted)
@@ -403,11 +526,14 @@ def aligned_documents(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = P
             size = 0
         groups[-1].append(bucket)
         size += n
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if len(groups) > 1:
+        rows = written(rows, "rows")  # several passes know a row by its number
     passes = []
     for own in groups:
-        rows = list(counted.filter(F.col("bucket").isin(own)).toLocalIterator()) if own else []
-        passes.append(link_sums(tokens, PairTable(rows, highest), byte_bpe, pieces))
-    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        known = list(counted.filter(F.col("bucket").isin(own)).toLocalIterator()) if own else []
+        passes.append(link_sums(rows, PairTable(known, highest), byte_bpe, pieces))
+    columns = ["doc_id", *SUMS, "groups"]
     if len(passes) == 1:
         return passes[0].select(columns)
     same = [F.first(c).alias(c) for c in columns if c not in ("n_best", "count_sum")]
@@ -417,4 +543,6 @@ def aligned_documents(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = P
 
 @query("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aligned_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = aligned_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", *SUMS, digest.alias("groups_sha256"))

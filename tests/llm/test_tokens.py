@@ -122,11 +122,31 @@ def brute_alignment(texts, byte_bpe, pieces):
     return out
 
 
+def digested(row):
+    return (*row[1:7], hashlib.sha256(row.groups.encode()).hexdigest() if row.groups else "")
+
+
+def test_query_of_alignment(spark, byte_bpe, pieces):
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = brute_alignment([r.text for r in given], byte_bpe, pieces)
+    got = token_alignment.op12_token_alignment(spark, SF)
+    assert [t for _, t in got.dtypes] == ["bigint"] * 7 + ["string"]
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == {r.doc_id: w for r, w in zip(given, want)}
+
+
+def test_few_words_are_kept(spark, byte_bpe, pieces, monkeypatch):
+    monkeypatch.setattr(token_alignment, "KEPT_WORDS", 3)
+    texts = [f"w{k} and w{k + 1}  \n w{k}\t" for k in range(40)] + ["x " * 30]
+    monkeypatch.setattr("noviscan.llm.token_alignment.sized_slices", lambda batches, column: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    got = token_alignment.aligned_documents(docs_of(spark, texts).repartition(2))
+    assert {r[0]: digested(r) for r in got.collect()} == dict(enumerate(brute_alignment(texts, byte_bpe, pieces)))
+
+
 def test_alignment_equals_brute_force(spark, texts, byte_bpe, pieces):
     got = token_alignment.aligned_documents(docs_of(spark, texts).repartition(5))
-    assert got.dtypes == [("doc_id", "bigint"), *[(c, "bigint") for c in got.columns[1:7]], ("groups_sha256", "string")]
+    assert got.dtypes == [("doc_id", "bigint"), *[(c, "bigint") for c in got.columns[1:7]], ("groups", "string")]
     want = brute_alignment(texts, byte_bpe, pieces)
-    assert {r[0]: tuple(r[1:]) for r in got.collect()} == dict(enumerate(want))
+    assert {r[0]: digested(r) for r in got.collect()} == dict(enumerate(want))
     assert sum(w[6] == "" for w in want) >= 4 and max(w[0] * w[1] for w in want) > 10**7
 
 
@@ -138,7 +158,7 @@ def test_alignment_in_several_passes_and_blocks(spark, byte_bpe, pieces, monkeyp
     docs = docs_of(spark, texts, [1, 1, 2, None, 3, 4, 4]).repartition(3)
     want = sorted(zip([1, 1, 2, None, 3, 4, 4], brute_alignment(texts, byte_bpe, pieces)), key=str)
     got = token_alignment.aligned_documents(docs, pairs_per_pass=60)
-    assert sorted(((r[0], tuple(r[1:])) for r in got.collect()), key=str) == want
+    assert sorted(((r[0], digested(r)) for r in got.collect()), key=str) == want
 
 
 def test_alignment_of_nothing(spark):
