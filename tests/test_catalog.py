@@ -43,3 +43,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_the_optional_folders(tmp_path):
+    """A copy without the subpackage for training data, with and without the pipeline file."""
+    import shutil
+    import subprocess
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "noviscan"), tmp_path / "noviscan", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    told = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, any(n.startswith('op1') for n in q))"
+    for name in (None, "corpus_pipeline.py"):
+        if name and os.path.exists(os.path.join(root, name)):
+            shutil.copy(os.path.join(root, name), tmp_path)
+        ran = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+        assert ran.stdout.split() == [str(len(QUERIES)), "False", "False"], ran.stderr[-500:]
