@@ -14,6 +14,7 @@ from noviscan.functions import text as X
 from noviscan.operators import index as I
 from noviscan.operators import links as G
 from noviscan.operators.ordering import one_row
+from noviscan.session import shared_folder
 from noviscan.sources import notes as N
 
 NOTES_CTE = f"WITH notes AS ({NOTES_SQL}), links AS ({LINKS_SQL})"
@@ -200,25 +201,7 @@ def graph_tables(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """A fresh folder below the shared checkpoint folder (a temporary one only in local mode)."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-@query(
-    "snk11_graph_json_export",
-    NOTES_CTE + """ SELECT '{"id":"' || note_path || '","label":"' || title || '","highlighted":' || CASE WHEN doc_id % 4 = 0 THEN 'true' ELSE 'false' END || ',"tags":["' || tag1 || '","' || tag2 || '","' || tag3 || '"]}' AS node FROM notes""",
-)
-def graph_json(spark, sf):
-    n = notes(spark, sf)
-    return G.graph_json(G.graph_nodes(n), G.graph_edges(n), n.filter("doc_id % 4 = 0").select("note_path"))[0]
+    return shared_folder(spark, "scratch")
 
 
 HEAD = "'1000:150:local:all-MiniLM-L6-v2:rich=True:transclude=0:400:'"
@@ -427,11 +410,28 @@ def keyword(spark, sf):
     return keyword_search(chunks, "The EN", 50).select("chunk_id", "note_path", "score")
 
 
+#: Whole benchmark texts, whose words must all occur, and inside of the greatest word of each.
+ASKED_SQL = """SELECT item_id AS query_id, lower(text) AS query FROM benchmark
+ UNION ALL SELECT 1000000 + item_id, substr(list_max(list_filter(regexp_extract_all(lower(text), '[^\\s]+'), lambda w: length(w) > 2)), 2, length(list_max(list_filter(regexp_extract_all(lower(text), '[^\\s]+'), lambda w: length(w) > 2))) - 2) FROM benchmark
+ UNION ALL SELECT 2000000 + item_id, substr(list_max(regexp_extract_all(lower(text), '[^\\s]+')), 1, 2) FROM benchmark"""
+
+
+def _chunks_and_queries(spark, sf):
+    chunks = table(spark, sf, "documents").selectExpr(
+        "doc_id AS chunk_id", "source || '/' || CAST(doc_id AS STRING) AS note_path", "lang AS note_title", "source AS heading", "text"
+    )
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\s]+"), F.lit(0))
+    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("query"), words.alias("words"))
+    long = F.array_max(F.filter("words", lambda w: F.length(w) > 2))
+    inner = F.substring(long, F.lit(2), F.length(long) - 2)
+    asked = b.select(F.col("item_id").alias("query_id"), "query").unionByName(b.select((F.lit(1000000) + F.col("item_id")).alias("query_id"), inner.alias("query")))
+    return chunks, asked.unionByName(b.select((F.lit(2000000) + F.col("item_id")).alias("query_id"), F.substring(F.array_max("words"), 1, 2).alias("query")))
+
+
 @query(
     "srt1_keyword_search_many",
-    """WITH q AS (SELECT item_id AS query_id, list_distinct(list_slice(regexp_extract_all(lower(text), '[^\\s]+'), 1, 2)) AS terms FROM benchmark
-  UNION ALL SELECT 1000000 + item_id, [lower(substr(text, 2, 4))] FROM benchmark WHERE NOT regexp_matches(substr(text, 2, 4), '\\s')),
- c AS (SELECT doc_id, source || '/' || doc_id AS note_path, lower(lang) AS t, lower(source) AS h, lower(text) AS x, lower(lang) || chr(10) || lower(source) || chr(10) || lower(text) AS hay FROM documents),
+    f"""WITH q AS (SELECT query_id, list_distinct(regexp_extract_all(query, '[^\\s]+')) AS terms FROM ({ASKED_SQL}) t WHERE query IS NOT NULL AND len(regexp_extract_all(query, '[^\\s]+')) > 0),
+ c AS (SELECT doc_id, source || '/' || doc_id AS note_path, lower(lang) AS t, lower(source) AS h, lower(lang) || chr(10) || lower(source) || chr(10) || lower(text) AS hay FROM documents),
  hits AS (SELECT query_id, terms, c.* FROM q, c WHERE len(list_filter(terms, lambda w: NOT contains(hay, w))) = 0),
  w AS (SELECT query_id, doc_id, note_path, t, h, hay, unnest(terms) AS term FROM hits),
  sc AS (SELECT query_id, doc_id, note_path, sum((length(hay) - length(replace(hay, term, ''))) / length(term)
@@ -439,17 +439,26 @@ def keyword(spark, sf):
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_path, doc_id) AS rank, doc_id AS chunk_id, note_path, CAST(score AS DOUBLE) AS score FROM sc QUALIFY rank <= 5""",
 )
 def keyword_many(spark, sf):
+    """Makes the stored index of all documents and answers from it."""
     from noviscan.operators.search import keyword_search_many
 
-    chunks = table(spark, sf, "documents").selectExpr(
-        "doc_id AS chunk_id", "source || '/' || CAST(doc_id AS STRING) AS note_path", "lang AS note_title", "source AS heading", "text"
-    )
-    asked = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(X.squeeze(F.col("text")), " "), 1, 2), " ").alias("query")
-    )
-    inner = table(spark, sf, "benchmark").select((F.lit(1000000) + F.col("item_id")).alias("query_id"), F.substring("text", 2, 4).alias("query"))
-    asked = asked.unionByName(inner.filter(~F.col("query").rlike(r"\s")))
-    return longs(keyword_search_many(chunks, asked, 5), "rank")
+    return longs(keyword_search_many(*_chunks_and_queries(spark, sf), 5), "rank")
+
+
+@query(
+    "srt1_keyword_index_tokens",
+    """WITH e AS (SELECT doc_id, unnest(regexp_extract_all(lower(lang) || chr(10) || lower(source) || chr(10) || lower(text), '[^\\s]+')) AS token FROM documents)
+SELECT token, count(DISTINCT doc_id) AS chunks, count(*) AS times FROM e GROUP BY token""",
+)
+def keyword_tokens(spark, sf):
+    """The token lists of the stored index, added up over its buckets."""
+    from noviscan.operators import keyword_index as K
+
+    root = _scratch(spark)
+    K.write_keyword_index(_chunks_and_queries(spark, sf)[0], root)
+    tokens = K.read_keyword_index(spark, root, "bigint").filter("kind = 'token'")
+    times = F.aggregate("times", F.lit(0).cast("long"), lambda n, x: n + x)
+    return tokens.groupBy(F.col("key").alias("token")).agg(F.sum(F.size("places")).alias("chunks"), F.sum(times).alias("times"))
 
 
 @query(

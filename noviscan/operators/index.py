@@ -13,9 +13,10 @@ from noviscan.functions.identity import note_hash
 from noviscan.operators.ordering import one_row
 
 
-def fingerprints(notes: DataFrame, cfg: EngineConfig = DEFAULTS) -> DataFrame:
+def fingerprints(notes: DataFrame, cfg: EngineConfig = DEFAULTS, *more: Column) -> DataFrame:
+    """note_path, hash, mtime and ``more`` columns of each note."""
     return notes.select(
-        "note_path", note_hash(F.col("title"), F.col("aliases"), F.col("tags"), F.col("content"), cfg).alias("hash"), "mtime"
+        "note_path", note_hash(F.col("title"), F.col("aliases"), F.col("tags"), F.col("content"), cfg).alias("hash"), "mtime", *more
     )
 
 
