@@ -18,6 +18,7 @@ HEADLINES = {
     "threshold_calibration": "agg10_threshold_calibration",
     "keyword_search": "srt1_keyword_search",
     "keyword_search_many": "srt1_keyword_search_many",
+    "keyword_index_build": "srt1_keyword_index_tokens",
     "extractive_summary": "srt2_extractive_summary",
     "link_resolution": "join3_wikilink_resolution",
     "incremental_diff": "join8_incremental_diff",

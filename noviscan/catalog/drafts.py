@@ -247,17 +247,17 @@ def content_map(spark, sf):
 
 
 NOTE = (
-    "CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) ELSE '' END || '# Note ' || CAST(doc_id % 3 AS STRING) || chr(10) || chr(10) || rpad(regexp_replace(substr(text, 1, 60), '[^A-Za-z]', 'x'), 60, 'x') || chr(10) || chr(10) "
+    "CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'a: b' || chr(10) || '---' || chr(10) ELSE '' END || '# Note ' || CAST(doc_id % 3 AS STRING) || chr(10) || chr(10) || 'p' || regexp_replace(coalesce(text, ''), '[^A-Za-z]', 'x') || chr(10) || chr(10) "
     "|| repeat('- bullet of text' || chr(10), CAST(doc_id % 15 AS INT)) || CASE doc_id % 3 WHEN 0 THEN '## Related notes' || chr(10) || '- [[a]]' || chr(10) WHEN 1 THEN '## Related notes' || chr(10) || '- none [[b]]' || chr(10) ELSE '' END"
 )
 
 
 @query(
     "agg23_note_quality",
-    f"""WITH n AS (SELECT doc_id FROM documents),
- f AS (SELECT doc_id, doc_id % 2 = 0 AS headed, doc_id % 3 = 1 AS titled, CAST(doc_id % 15 AS INT) + CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS bullets,
+    f"""WITH n AS (SELECT doc_id, 1 + length(coalesce(text, '')) BETWEEN 40 AND 400 AS defined FROM documents),
+ f AS (SELECT doc_id, defined, doc_id % 2 = 0 AS headed, doc_id % 3 = 1 AS titled, CAST(doc_id % 15 AS INT) + CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS bullets,
   (CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END) + 2 + CAST(doc_id % 15 AS INT) + (CASE WHEN doc_id % 3 < 2 THEN 2 ELSE 0 END) AS lines FROM n)
-SELECT doc_id, round(((CASE WHEN headed THEN 1 ELSE 0 END) + (CASE WHEN titled THEN 1 ELSE 0 END) + 1 + (CASE WHEN bullets BETWEEN 2 AND 12 THEN 1 ELSE 0 END) + (CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0 END) + (CASE WHEN lines >= 8 THEN 1 ELSE 0 END)) / 6.0, 3) AS quality_score FROM f""",
+SELECT doc_id, round(((CASE WHEN headed THEN 1 ELSE 0 END) + (CASE WHEN titled THEN 1 ELSE 0 END) + (CASE WHEN defined THEN 1 ELSE 0 END) + (CASE WHEN bullets BETWEEN 2 AND 12 THEN 1 ELSE 0 END) + (CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.25 ELSE 0 END) + (CASE WHEN lines >= 8 THEN 1 ELSE 0 END)) / 6.0, 3) AS quality_score FROM f""",
 )
 def quality(spark, sf):
     d = table(spark, sf, "documents")

@@ -157,14 +157,14 @@ def unreliable_sql(c: str) -> str:
 
 @query(
     "src11_best_extraction_per_page",
-    f"""WITH p AS (SELECT doc_id, trim(CASE WHEN doc_id % 4 = 0 THEN substr(text, 60) ELSE text END, {WS}) AS a, trim(CASE WHEN doc_id % 3 = 0 THEN substr(text, 5) ELSE text END, {WS}) AS b FROM documents),
+    f"""WITH p AS (SELECT doc_id, trim(CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '[aeiouy]', 'q', 'g') ELSE text END, {WS}) AS a, trim(CASE WHEN doc_id % 3 = 0 THEN 'page ' || text ELSE text END, {WS}) AS b FROM documents),
  u AS (SELECT *, {unreliable_sql('a')} AND b <> '' AND (NOT {unreliable_sql('b')} OR length(b) > length(a)) AS used FROM p)
 SELECT doc_id, CASE WHEN used THEN b ELSE a END AS text, used AS used_alternative FROM u""",
 )
 def best_page(spark, sf):
     d = table(spark, sf, "documents")
-    first = d.selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN substr(text, 60) ELSE text END AS text")
-    other = d.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN substr(text, 5) ELSE text END AS text")
+    first = d.selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '[aeiouy]', 'q') ELSE text END AS text")
+    other = d.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'page ' || text ELSE text END AS text")
     return S.best_page_text(first, other, ["doc_id"])
 
 
@@ -312,7 +312,8 @@ def unreliable(spark, sf):
 
 @query(
     "agg14_extraction_quality",
-    f"""WITH p AS (SELECT conv_id AS doc_id, trim(CASE WHEN (conv_id + turn) % 3 <> 0 THEN ' ' WHEN conv_id % 4 = 0 THEN 'zz tq ' || text ELSE text END, {WS}) AS text FROM conversations),
+    f"""WITH p AS (SELECT conv_id AS doc_id, trim(CASE WHEN conv_id % 4 = 0 THEN 'zz tq ' || text ELSE text END, {WS}) AS text FROM conversations
+  UNION ALL SELECT conv_id, '' FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id, '' FROM conversations WHERE conv_id % 3 = 0),
  w AS (SELECT *, regexp_extract_all(text, '[A-Za-z'']+') AS ws FROM p),
  s AS (SELECT doc_id, count(*) AS page_count, count(*) FILTER (text <> '') AS pages_with_text, sum(CASE WHEN text <> '' THEN length(text) + 2 ELSE 0 END) - 2 AS chars, sum(len(ws)) AS words,
   sum(len(list_filter(ws, lambda w: length(trim(lower(w), '''')) >= 3 AND regexp_matches(lower(w), '[aeiouy]')))) AS readable FROM w GROUP BY doc_id)
@@ -320,10 +321,11 @@ SELECT doc_id, page_count, pages_with_text, CAST(CASE WHEN pages_with_text = 0 T
  + (CASE WHEN page_count >= 2 AND pages_with_text >= 2 AND chars / page_count < 80 THEN 1 ELSE 0 END) + (CASE WHEN words >= 20 AND readable / words < 0.55 THEN 1 ELSE 0 END) END AS BIGINT) AS warnings FROM s""",
 )
 def extraction_quality(spark, sf):
-    pages = table(spark, sf, "conversations").selectExpr(
-        "conv_id AS doc_id", "CASE WHEN (conv_id + turn) % 3 <> 0 THEN ' ' WHEN conv_id % 4 = 0 THEN 'zz tq ' || text ELSE text END AS text"
-    )
-    return R.extraction_quality(pages).select("doc_id", "page_count", "pages_with_text", F.size("warnings").cast("long").alias("warnings"))
+    """All turns as pages; every third conversation has two blank pages more for each turn."""
+    turns = table(spark, sf, "conversations")
+    pages = turns.selectExpr("conv_id AS doc_id", "CASE WHEN conv_id % 4 = 0 THEN 'zz tq ' || text ELSE text END AS text")
+    blank = turns.filter("conv_id % 3 = 0").selectExpr("conv_id AS doc_id", "' ' AS text")
+    return R.extraction_quality(pages.unionByName(blank).unionByName(blank)).select("doc_id", "page_count", "pages_with_text", F.size("warnings").cast("long").alias("warnings"))
 
 
 @query("prj1_heading_aware_chunker")
