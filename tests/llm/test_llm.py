@@ -599,9 +599,7 @@ def test_warc_round_trip_and_edges(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path(token_orc.TOKENIZER))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path(token_orc.TOKENIZER))
 
 
 @settings(max_examples=300, deadline=None)
@@ -611,6 +609,13 @@ def test_words_equal_the_library(tokenizer, text):
     assert words.encode([text])[0] == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
 
+def test_words_of_all_documents_equal_the_library(spark, tokenizer):
+    texts = [*given_docs(spark).values(), "x<|endoftext|>y <|startoftext|>", "A\x1cB c\x00d \x00 \x1f", "ÀÉ İ Straße. don't, re've"]
+    coded = token_orc.Words(tokenizer).encode(texts)
+    for text, own, found in zip(texts, coded, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        assert own == np.array(found.ids, "<i4").tobytes(), text[:80]
+
+
 def test_orc_query_and_pruning(spark, tokenizer):
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_orc.op9_token_orc(spark, SF).collect()}
     start = 0
