@@ -6,7 +6,8 @@ skipped. Answer level: equal sets are one item; similar sets take their answer f
 compared before (see ``linking``), instead of being compared with every member of its group.
 
 Rarity only orders the shingles, so a sketch of fixed size, summed over all sets, and a bitmap of shared
-shingles are enough for it: any order used for all sets alike gives the same links.
+shingles are enough for it: any order used for all sets alike gives the same links. Shingles that only one
+set has in its prefix never leave the scan.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from noviscan.llm.base import query, sieve, sifted, slices, table, text_of, written
@@ -28,6 +28,10 @@ PERCENT = 75
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 13
 SALTS = 64
+#: Largest sieve of shared prefix shingles, 64 MB; beyond some billion shingles it prunes less, answers stay exact.
+SIEVE_BITS_MOST = 29
+#: Prefix shingles that a task holds before it packs them.
+KEYS_HELD = 1 << 21
 #: A little over 100 / 75, so the sizes of linking sets are in the same or in neighbouring blocks.
 BLOCK_RATIO = 1.34
 
@@ -110,49 +114,124 @@ def least_common(size):
     return (PERCENT * size + 99) // 100
 
 
-def prefixes(sets: DataFrame, levels, shared=None) -> DataFrame:
-    """(key, id, size, pos) of the prefix of each set: first shingles not known as shared, rare ones first."""
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """(id, shingles) once per set: only sets that occur more than once, found by a sieve of their ids, are shuffled."""
+    some = sets.filter("id is not null").select("id", "shingles")
+    repeated = some.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("key"))
+    bitmap = sets.sparkSession.sparkContext.broadcast(sieve(repeated))
+
+    def pick(inside: bool):
+        def run(batches):
+            for batch in slices(batches):
+                yield batch.filter(pa.array(sifted(bitmap.value, batch.column(0).to_numpy()) == inside))
+
+        return run
+
+    copies = some.mapInArrow(pick(True), some.schema).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    return some.mapInArrow(pick(False), some.schema).unionByName(written(copies, "copies"))
+
+
+def prefix(values: np.ndarray, levels: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
+    """First shingles of a set, one more than it can miss: those not known as shared first, then by rarity."""
+    order = levels[(values & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+    if shared is not None:
+        order |= sifted(shared, values).astype(np.uint64) << np.uint64(8)
+    order = np.sort((order << np.uint64(48)) | values)
+    return order[: len(values) - least_common(len(values)) + 1] & np.uint64((1 << 48) - 1)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Ascending numbers below 2^40 as differences, byte by byte of all of them, which Spark compresses well."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def from_planes(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(5, -1).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def shared_keys(uniques: DataFrame, levels, shared, bits: int, cuts: int) -> np.ndarray:
+    """Sieve (2^bits bits) of the prefix keys that two sets have at least.
+
+    Keys are reduced to 40 bits, the slot of the sieve in front, and leave a task sorted, without repeats and
+    packed, in 2^cuts slices; the task of a slice finds those that came twice. No key is missed; keys that
+    are equal in 40 bits are marked too.
+    """
+    low, rest, per_slice = np.uint64((1 << bits) - 1), np.uint64(40 - bits), np.uint64(40 - cuts)
+
+    def pack(found: list[np.ndarray]):
+        keys = np.concatenate(found)
+        keys = ((keys & low) << rest) | ((keys >> np.uint64(bits)) & ((np.uint64(1) << rest) - np.uint64(1)))
+        keys, counts = np.unique(keys, return_counts=True)
+        edges = np.searchsorted(keys, np.arange(1 << cuts, dtype=np.uint64) << per_slice).tolist() + [len(keys)]
+        pieces = [(k, keys[x:y], keys[x:y][counts[x:y] > 1]) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([p[0] for p in pieces], pa.int64())] + [pa.array([planes(p[k]) for p in pieces], pa.binary()) for k in (1, 2)],
+            ["slice", "keys", "twice"],
+        )
 
     def run(batches):
-        seen: set[int] = set()
+        found, held = [], 0
         for batch in slices(batches, 256):
-            keys, ids, sizes, places = [], [], [], []
+            for blob in batch.column(0):
+                found.append(prefix(unpacked(blob.as_py()), levels.value, shared.value if shared else None))
+                held += len(found[-1])
+            if held > KEYS_HELD:
+                yield pack(found)
+                found, held = [], 0
+        if found:
+            yield pack(found)
+
+    def mark(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([from_planes(x.as_py()) for name in ("keys", "twice") for x in group.column(name)])
+        keys.sort()
+        slots = (keys[1:][keys[1:] == keys[:-1]] >> rest) & np.uint64((1 << (bits - cuts)) - 1)
+        flags = np.zeros(1 << (bits - cuts), np.uint8)
+        flags[slots.astype(np.int64)] = 1
+        return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    packed_keys = uniques.select("shingles").mapInArrow(run, "slice long, keys binary, twice binary")
+    out, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - cuts - 3)
+    for row in packed_keys.groupBy("slice").applyInArrow(mark, "slice long, bits binary").toLocalIterator():
+        out[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def prefix_rows(uniques: DataFrame, levels, shared, common) -> DataFrame:
+    """(key, id, size, pos, side) of the prefix keys that are in the sieve ``common``."""
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            columns = [[np.empty(0, np.int64)] for _ in range(4)]
             for one, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if one in seen:
-                    continue
-                seen.add(one)
                 values = unpacked(blob)
-                order = levels.value[(values & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-                if shared is not None:
-                    order |= sifted(shared.value, values).astype(np.uint64) << np.uint64(8)
-                count = len(values) - least_common(len(values)) + 1
-                order = np.sort((order << np.uint64(48)) | values)[:count]
-                keys.append((order & np.uint64((1 << 48) - 1)).astype(np.int64))
-                ids.append(np.full(count, one))
-                sizes.append(np.full(count, len(values)))
-                places.append(np.arange(count))
-            columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (keys, ids, sizes, places)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "id", "size", "pos"]
-            )
+                keys = prefix(values, levels.value, shared.value)
+                places = np.flatnonzero(sifted(common.value, keys))
+                for column, x in zip(columns, (keys[places].astype(np.int64), np.full(len(places), one), np.full(len(places), len(values)), places)):
+                    column.append(x)
+            arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "size", "pos"])
 
-    return sets.filter("id is not null").select("id", "shingles").mapInArrow(run, "key long, id long, size int, pos int")
+    return uniques.select("id", "shingles").mapInArrow(run, "key long, id long, size int, pos int").withColumn("side", F.lit(2))
 
 
 def prefix_lists(sets: DataFrame) -> DataFrame:
-    """(key, id, size, pos, side) of the prefix shingles that two different sets at least have.
+    """(key, id, size, pos, side) of the prefix shingles that two different sets have, and of few others.
 
-    A first round finds which prefix shingles are shared at all, on 31 bits of keys and ids, as it only
-    improves the order: in the second round those come last, so most sets drop out of all lists.
+    A first round finds which prefix shingles are shared at all: by the order of the second these come last,
+    so most sets drop out of all lists. The second finds the shared ones among its own prefixes, and only
+    rows of these leave the scan.
     """
     context = sets.sparkSession.sparkContext
     levels = context.broadcast(rarity(sets))
-    short = prefixes(sets, levels).select(*[F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(c) for c in ("key", "id")])
-    shared = short.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
-    shared = context.broadcast(sieve(shared.select(F.col("key").cast("long").alias("key"))))
-    list_of = W.partitionBy("key")
-    rows = prefixes(sets, levels, shared).withColumn("least", F.min("id").over(list_of)).withColumn("most", F.max("id").over(list_of))
-    return rows.filter("least <> most").dropDuplicates(["key", "id"]).select("key", "id", "size", "pos", F.lit(2).alias("side"))
+    uniques = distinct_sets(sets)
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    bits = min(max((total // 2).bit_length(), 20), SIEVE_BITS_MOST)
+    cuts = min(max((total >> 20).bit_length(), 4), 14)
+    shared = context.broadcast(shared_keys(uniques, levels, None, bits, cuts))
+    common = context.broadcast(shared_keys(uniques, levels, shared, bits, cuts))
+    return prefix_rows(uniques, levels, shared, common)
 
 
 def possible(x: str, y: str):

@@ -4,7 +4,8 @@
 index row and a probe row (``side`` 0 and 1, or 2 for both) meet under a key. Whole answers in three rounds:
 
 1. Every probe of a list is compared with one leader of the list only, so a list of g near copies costs g
-   comparisons. The links found give first components.
+   comparisons. The leader is the member with the least ``pos``: where rare signatures come first, it is the
+   one with the fewest parts of its own, the middle of a group of variants. The links found give first components.
 2. A list with one component is finished. A member outside the largest component of its lists is compared
    with one member of it in ``SAMPLES`` of these lists.
 3. What is left are pairs of different components; two members of the largest component of a list never
@@ -65,7 +66,7 @@ def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
 def linked_components(
     lists: DataFrame, verify: Verify, possible: Callable[[str, str], Column], block: Column, reach: int, limit: float | None = None
 ) -> DataFrame:
-    """(id, root) of all items with a link, for written ``lists`` in which each key has two ids at least.
+    """(id, root) of all items with a link, for written ``lists``; a key of one id costs its row only.
 
     ``verify`` maps pairs (a, b) to (a, b, linked, distance). ``possible(x, y)`` is a condition on the size
     and pos of two rows that every linking pair fulfils at one of its keys at least. ``block`` is a number by
@@ -74,7 +75,7 @@ def linked_components(
     """
     index = lists.filter("side in (0, 2)").withColumn("block", block)
     probe = lists.filter("side in (1, 2)").withColumn("block", block)
-    leaders = index.groupBy("key", "block").agg(F.min(F.struct("id", "size", "pos")).alias("y"))
+    leaders = index.groupBy("key", "block").agg(F.min(F.struct("pos", "id", "size")).alias("y"))
     leaders = written(leaders.select("key", "block", "y.*"), "leaders")
     met = probe.alias("x").join(leaders.alias("y"), ["key", "block"]).filter(F.col("x.id") != F.col("y.id")).filter(possible("x", "y"))
     tested = written(verify(written(ordered(met).distinct(), "star-pairs")), "tested")
@@ -88,7 +89,7 @@ def linked_components(
     picks = [F.min_by(F.struct("key", "block", "size", "pos"), F.xxhash64("key", F.lit(k))) for k in range(SAMPLES)]
     outside = outside.groupBy("id").agg(F.array_distinct(F.array(*picks)).alias("picks")).select("id", F.inline("picks"))
     inside = open_lists.filter("root = top and side in (0, 2)").groupBy("key", "block")
-    samples = written(inside.agg(F.min_by(F.struct("id", "size", "pos"), F.xxhash64("id", "key")).alias("y")).select("key", "block", "y.*"), "samples")
+    samples = written(inside.agg(F.min_by(F.struct("id", "size", "pos"), F.struct("pos", F.xxhash64("id", "key"))).alias("y")).select("key", "block", "y.*"), "samples")
     met = outside.alias("x").join(samples.alias("y"), ["key", "block"]).filter(possible("x", "y"))
     second = written(ordered(met).distinct().join(tested, ["a", "b"], "left_anti"), "sample-pairs")
     again = written(verify(second), "tested")

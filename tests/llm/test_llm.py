@@ -687,6 +687,41 @@ def test_jaccard_on_edited_copies(spark):
     assert got == components_by_hand(texts)
 
 
+def test_jaccard_hot_groups_compare_few_pairs(spark, monkeypatch):
+    """A passage that thousands of different texts share, and many variants of one text around the threshold."""
+    seeded = random.Random(33)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(f"d{i}w{k}" for k in range(15)) + " " + passage for i in range(1500)]
+    base = [f"b{k}" for k in range(146)]
+    for i in range(400):
+        copy = list(base)
+        for _ in range(seeded.randrange(10)):
+            copy[seeded.randrange(len(copy))] = f"e{i}x{seeded.randrange(1000)}"
+        texts.append(" ".join(copy))
+    compared = []
+    verifier = jaccard_join.verifier
+
+    def counting(sets):
+        verify = verifier(sets)
+
+        def run(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+
+        return run
+
+    monkeypatch.setattr(jaccard_join, "verifier", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(docs_of(spark, texts)).collect()}
+    assert got == components_by_hand(dict(enumerate(texts)))
+    assert sum(compared) < 20 * len(texts)
+
+
+def test_packed_keys_come_back():
+    values = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 1000, dtype=np.uint64))
+    assert (jaccard_join.from_planes(jaccard_join.planes(values)) == values).all()
+    assert len(jaccard_join.from_planes(jaccard_join.planes(values[:0]))) == 0
+
+
 def test_jaccard_edges(spark, odd, none):
     rows = jaccard_join.similar_documents(odd).collect()
     assert len(rows) == odd.count() and {r.component_id for r in rows if r.doc_id in (4, None)} == {4}
