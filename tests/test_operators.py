@@ -604,3 +604,13 @@ def test_location_display(spark):
     assert show(page=2, page_end=4, line_start=1) == "pages 2-4, line 1"
     assert show(ts_start=3661.0, ts_end=3700.0) == "1:01:01-1:01:40"
     assert show() == "unknown"
+
+
+
+def test_title_letters_stay_single(one):
+    titles = ["\xdfheit und so", "ﬁn den", "ᾳ alpha", "\xe4pfel", "ŉ an"]
+    assert [one(X.compose_title, t=t) for t in titles] == ["ẞheit und so", "ﬁn den", "ᾼ alpha", "\xc4pfel", "ŉ an"]
+    import duckdb
+
+    shown = duckdb.execute("SELECT list_transform(?, lambda c: upper(c[1]))", [titles]).fetchall()[0][0]
+    assert [one(X.compose_title, t=t)[0] for t in titles] == shown
