@@ -170,6 +170,17 @@ TITLE_ENUM = r"(?U)^\s*(?:\d+(?:\.\d+)+[\s:.\-–)]*|\d+\s*[:.\-–)]+\s*)"
 PART_SUFFIX = r"(?iU)\s*\((?:part\s*)?\d+\)\s*$"
 
 
+# Letters whose upper case is several letters in Java, and their one-letter upper case (themselves, if none).
+SEVERAL = [c for c in map(chr, range(0x80, 0xFB18)) if len(c.upper()) > 1]
+SINGLE = ["\u1e9e" if c == "\xdf" else c.title() if len(c.title()) == 1 else c for c in SEVERAL]
+
+
+def upper_letter(letter: Column) -> Column:
+    """Upper case of one letter as one letter, as in SQL."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) == 1, upper).otherwise(F.translate(letter, "".join(SEVERAL), "".join(SINGLE)))
+
+
 def compose_title(c: Column, limit: int = 72) -> Column:
     """Clean concept title: markers, numbering and page numbers go, a part suffix stays."""
     def clean(bare):
@@ -187,7 +198,7 @@ def compose_title(c: Column, limit: int = 72) -> Column:
 
     def capitalize(text):
         first = F.substring(text, 1, 1)
-        return F.when(first.rlike(r"^\p{Ll}"), F.concat(F.upper(first), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+        return F.when(first.rlike(r"^\p{Ll}"), F.concat(upper_letter(first), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
 
     def build(text):
         part = F.nullif(F.regexp_extract(F.regexp_extract(text, PART_SUFFIX, 0), r"\d+", 0), F.lit(""))

@@ -614,3 +614,9 @@ def test_title_letters_stay_single(one):
 
     shown = duckdb.execute("SELECT list_transform(?, lambda c: upper(c[1]))", [titles]).fetchall()[0][0]
     assert [one(X.compose_title, t=t)[0] for t in titles] == shown
+
+
+def test_composed_titles_lose_one_suffix(spark):
+    rows = spark.createDataFrame([(1, 1, "Alpha 93 (part 2)"), (1, 2, "Beta (853) (part 3)"), (1, 3, "Beta (853)"), (1, 4, "Gamma 7"), (1, 5, "gamma 7")], "source_id int, pos long, title string")
+    got = [r["out"] for r in T.disambiguate(rows, "source_id", "pos", "title", "out", composed=True).orderBy("pos").collect()]
+    assert got == ["Alpha 93", "Beta (853)", "Beta", "Gamma 7 (part 1)", "gamma 7 (part 2)"]
