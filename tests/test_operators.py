@@ -620,3 +620,36 @@ def test_composed_titles_lose_one_suffix(spark):
     rows = spark.createDataFrame([(1, 1, "Alpha 93 (part 2)"), (1, 2, "Beta (853) (part 3)"), (1, 3, "Beta (853)"), (1, 4, "Gamma 7"), (1, 5, "gamma 7")], "source_id int, pos long, title string")
     got = [r["out"] for r in T.disambiguate(rows, "source_id", "pos", "title", "out", composed=True).orderBy("pos").collect()]
     assert got == ["Alpha 93", "Beta (853)", "Beta", "Gamma 7 (part 1)", "gamma 7 (part 2)"]
+
+
+def test_sentence_scores_round_halves_up(spark):
+    """193 / (128 * 8) = 0.1884765625: the tenth decimal is a half, the ninth is even."""
+    first = " ".join(["aaa", *[f"one{k}" for k in range(62)], "thrice"])
+    second = " ".join(["aaa"] * 127 + ["thrice"] * 2)
+    rows = spark.createDataFrame([([first + ".", second + "."],), (None,), ([],)], "s array<string>")
+    got = [r["v"] for r in rows.select(E.sentence_scores("s").alias("v")).collect()]
+    assert got[0][0] == 0.188476563 and got[1:] == [None, []]
+
+
+def test_scores_are_held_in_slices(monkeypatch):
+    """Against brute force, with copies, skipped rows and matrices of a few rows at a time."""
+    rng = np.random.default_rng(1)
+    index = K.unit_rows(list(rng.normal(size=(300, 8))))
+    index[50:80] = index[7]
+    queries, own, other = index[:120], np.arange(120), np.arange(300)
+    monkeypatch.setattr(K, "SCORES_AT_ONCE", 5000)
+    assert max(s.stop - s.start for s in K.steps(120, 300)) * 300 <= 5000
+    for k in (1, 3, 40, 400):
+        rows, cols, values = K.best_k_of(queries, index, k, own, other)
+        scores = np.round(queries @ index.T, 9)
+        scores[own, own] = -np.inf
+        want = [(r, c) for r in range(120) for c in sorted(range(300), key=lambda c: (-scores[r, c], c))[: min(k, 300)] if c != r]
+        assert list(zip(rows.tolist(), cols.tolist())) == want
+
+
+def test_bins_cover_cells():
+    rng = np.random.default_rng(2)
+    sizes, pivots = rng.integers(0, 50, 40), K.unit_rows(list(rng.normal(size=(40, 6))))
+    order, bins, heads = K._bins(sizes, pivots, 100)
+    assert sorted(order) == list(range(40)) and bins[heads].tolist() == list(range(bins.max() + 1))
+    assert all(sizes[order[bins == b]].sum() <= 100 for b in range(bins.max() + 1))
