@@ -653,3 +653,14 @@ def test_bins_cover_cells():
     order, bins, heads = K._bins(sizes, pivots, 100)
     assert sorted(order) == list(range(40)) and bins[heads].tolist() == list(range(bins.max() + 1))
     assert all(sizes[order[bins == b]].sum() <= 100 for b in range(bins.max() + 1))
+
+
+def test_completer_gets_small_frames(spark):
+    from noviscan.udfs import PROMPTS_AT_ONCE, complete
+
+    def provider(batches):
+        for batch in batches:
+            yield batch.assign(reply=str(len(batch)), error=None, input_tokens=1, output_tokens=1)
+
+    got = complete(spark.range(1000).coalesce(1), provider).collect()
+    assert sorted(r["id"] for r in got) == list(range(1000)) and max(int(r["reply"]) for r in got) == PROMPTS_AT_ONCE
