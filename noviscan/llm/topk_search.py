@@ -1,16 +1,19 @@
-"""Exact top-k search by BM25 with block-max pruning over shards of an inverted index.
+"""Exact top-k search by BM25 over shards of an inverted index, a block of queries at a time.
 
 Spark builds one index per shard of documents, sums lengths and document frequencies over all shards, and
-runs the queries, in blocks of bounded size, against every shard with these global statistics. Each shard
-returns its best k; the merge of these is exact.
+runs the queries, in blocks of bounded size, against every shard with these global statistics. A task walks
+a group of shards and keeps the best k of each query; the merge of the groups is exact.
 
-Within a shard the terms of a query are taken by falling upper bound. Once the bounds of the rest cannot
-lift a new document over the k-th best score, only documents seen so far are candidates; the block maxima
-of the remaining terms prune them, and the survivors are scored exactly.
+Within a shard the common terms of all queries of a block are one matrix product, the postings of the rest
+are added. Only documents that can reach the k-th best score of the task so far are scored exactly. Every
+query meets every shard, so the job stays quadratic in the documents, with a small factor.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import batched
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,9 +27,19 @@ from noviscan.llm.words import LooseWords
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_POSTINGS = 2_000_000
-BLOCK = 128
 QUERIES_PER_BLOCK = 2_048
-SLACK = 1e-6
+#: Tasks that the shards are dealt to for a block of queries; more tasks come from blocks run at once.
+GROUPS = 16
+BLOCKS_AT_ONCE = 8
+#: Terms in more than this share of a shard's documents are rows of its matrix, of 64 MB at most.
+COMMON = 0.03
+MATRIX_ROWS, MATRIX_CELLS = 1 << 12, 1 << 24
+#: Queries, and scores, that a task makes at once.
+QUERIES_AT_ONCE = 64
+SCORES_HELD = 1 << 20
+#: Above the error of a single-precision sum of ``MATRIX_ROWS`` positive products (about 2.5e-4).
+RELATIVE = 1e-3
+SLACK = 2e-6
 
 SHARD_SCHEMA = (
     "shard long, n_docs long, n_words long, doc_ids array<bigint>, lengths binary, terms binary, starts binary, docs binary, counts binary"
@@ -67,7 +80,7 @@ def build_shards(docs: DataFrame) -> DataFrame:
                 lengths.append(len(own))
                 terms.append(found)
                 counts.append(times)
-                size += len(found)
+                size += max(1, len(found))
                 if size >= SHARD_POSTINGS:
                     yield shard()
                     ids, lengths, terms, counts, size, number = [], [], [], [], 0, number + 1
@@ -106,59 +119,106 @@ def document_frequencies(shards: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """One shard's index with impacts (the part of a score without idf), their maxima by term and by block."""
+    """One shard's index with impacts (the part of a score without idf), common terms as rows of a matrix.
+
+    The matrix holds the terms of the most documents, ``MATRIX_CELLS`` numbers at most; the postings of all
+    other terms are added one by one. Products are made in single precision, whose error on sums of positive
+    numbers is below ``RELATIVE``, so they choose the candidates only; these are scored in double precision.
+    """
 
-    def __init__(self, ids, lengths, terms, starts, docs, counts, mean: float):
-        self.ids = np.array([np.iinfo(np.int64).max if x is None else x for x in ids], np.int64)
+    def __init__(self, ids: pa.Array, lengths, terms, starts, docs, counts, mean: float):
+        self.null = np.asarray(ids.is_null())
+        self.ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
         self.terms, self.starts, self.docs = terms, starts, docs
         norm = K1 * (1 - B + B * lengths / mean)
         self.impacts = counts * (K1 + 1) / (counts + norm[docs])
-        self.best = np.maximum.reduceat(self.impacts, starts[:-1]) if len(docs) else np.empty(0)
-        sizes = np.diff(starts)
-        blocks = -(-sizes // BLOCK)
-        self.first_block = np.concatenate([[0], np.cumsum(blocks)])
-        inside = np.arange(self.first_block[-1]) - np.repeat(self.first_block[:-1], blocks)
-        begins = np.repeat(starts[:-1], blocks) + inside * BLOCK
-        self.block_best = np.maximum.reduceat(self.impacts, begins) if len(begins) else np.empty(0)
-        self.block_last = docs[np.minimum(begins + BLOCK, np.repeat(starts[1:], blocks)) - 1] if len(begins) else np.empty(0, np.int32)
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of the best, at most ``top``, ties by document id."""
+        sizes, n = np.diff(starts), max(1, len(self.ids))
+        common = np.flatnonzero(sizes > COMMON * n)
+        common = common[np.argsort(-sizes[common], kind="stable")[: min(MATRIX_ROWS, MATRIX_CELLS // n)]]
+        self.row = np.full(len(terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(self.ids)), np.float32)
+        for row, t in enumerate(common.tolist()):
+            a, b = starts[t], starts[t + 1]
+            self.matrix[row, docs[a:b]] = self.impacts[a:b]
+
+    def rough(self, block: list) -> np.ndarray:
+        """Scores of all documents for each query (.., .., terms, idf) of a small block, in single precision."""
+        n = len(self.ids)
+        who = np.repeat(np.arange(len(block)), [len(q[2]) for q in block])
+        terms, idf = np.concatenate([q[2] for q in block]), np.concatenate([q[3] for q in block])
         at = np.searchsorted(self.terms, terms)
-        known = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[known], idf[known]
-        bound = idf * self.best[at]
-        order = np.argsort(-bound, kind="stable")
-        at, idf, bound = at[order], idf[order], bound[order]
-        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
-        scores, floor, done = np.zeros(len(self.ids)), 0.0, len(at)
-        for k, t in enumerate(at.tolist()):
-            a, b = self.starts[t], self.starts[t + 1]
-            scores[self.docs[a:b]] += idf[k] * self.impacts[a:b]
-            if k % 16 == 15 and len(scores) > top:
-                floor = np.partition(scores, -top)[-top]
-                if rest[k + 1] < floor - SLACK:
-                    done = k + 1
-                    break
-        found = np.flatnonzero((scores > 0) & (scores + rest[done] >= floor - SLACK))
-        if done < len(at) and len(found):
-            limit = scores[found]
-            for t, weight in zip(at[done:].tolist(), idf[done:]):
-                a, b = self.first_block[t], self.first_block[t + 1]
-                block = np.searchsorted(self.block_last[a:b], found)
-                limit = limit + np.where(block < b - a, weight * self.block_best[a + np.minimum(block, b - a - 1)], 0.0)
-            found = found[limit >= floor - SLACK]
-            for t, weight in zip(at[done:].tolist(), idf[done:]):
-                docs = self.docs[self.starts[t] : self.starts[t + 1]]
-                place = np.minimum(np.searchsorted(docs, found), len(docs) - 1)
-                hit = docs[place] == found
-                scores[found[hit]] += weight * self.impacts[self.starts[t] + place[hit]]
-        if len(found) > top:
-            least = np.partition(scores[found], -top)[-top]
-            found = found[scores[found] >= least - SLACK]
-        value = np.round(scores[found], 6)
-        order = np.lexsort((self.ids[found], -value))[:top]
-        return found[order], value[order]
+        known = at < len(self.terms)
+        known[known] = self.terms[at[known]] == terms[known]
+        who, at, idf = who[known], at[known], idf[known]
+        row = self.row[at]
+        weights = np.zeros((len(block), len(self.matrix)), np.float32)
+        weights[who[row >= 0], row[row >= 0]] = idf[row >= 0]
+        scores = weights @ self.matrix
+        who, at, idf = who[row < 0], at[row < 0], idf[row < 0]
+        sizes = self.starts[at + 1] - self.starts[at]
+        place = np.arange(sizes.sum()) + np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes)
+        cells = np.repeat(who * n, sizes) + self.docs[place]
+        scores += np.bincount(cells, np.repeat(idf, sizes) * self.impacts[place], len(block) * n).reshape(len(block), n)
+        return scores
+
+    def candidates(self, block: list, floors: np.ndarray, top: int) -> list[np.ndarray]:
+        """For each query of the block the documents that may be among its best, given its ``top``-th score so far."""
+        out, step = [], max(1, min(QUERIES_AT_ONCE, SCORES_HELD // max(1, len(self.ids))))
+        for start in range(0, len(block), step):
+            for scores, floor in zip(self.rough(block[start : start + step]), floors[start : start + step]):
+                found = np.flatnonzero((scores >= (floor - SLACK) * (1 - RELATIVE)) & (scores > 0))
+                if len(found) > top:
+                    least = np.partition(scores[found], -top)[-top]
+                    found = found[scores[found] >= (least - SLACK) * (1 - RELATIVE)]
+                out.append(found)
+        return out
+
+    def exact(self, block: list, found: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores of the documents found for each query, rounded to six decimals."""
+        wanted = np.zeros(len(self.ids), bool)
+        for some in found:
+            wanted[some] = True
+        place = np.flatnonzero(wanted[self.docs])
+        place = place[np.argsort(self.docs[place], kind="stable")]
+        starts = np.searchsorted(self.docs[place], np.arange(len(self.ids) + 1))
+        term_of = np.repeat(self.terms, np.diff(self.starts))[place]
+        impacts, out = self.impacts[place], []
+        for (_, _, terms, idf), some in zip(block, found):
+            if not len(some):
+                out.append(np.empty(0))
+                continue
+            sizes = starts[some + 1] - starts[some]
+            inside = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in some.tolist()])
+            at = np.minimum(np.searchsorted(terms, term_of[inside]), len(terms) - 1)
+            parts = np.where(terms[at] == term_of[inside], idf[at] * impacts[inside], 0.0)
+            out.append(np.round(np.bincount(np.repeat(np.arange(len(some)), sizes), parts, len(some)), 6))
+        return out
+
+
+class Best:
+    """The best of each query of a block over the shards of one task, ties by document id, nulls last."""
+
+    def __init__(self, block: list, top: int):
+        self.block, self.top = block, top
+        self.floors = np.zeros(len(block))
+        self.rows = [(np.empty(0), np.empty(0, np.int64), np.empty(0, bool))] * len(block)
+
+    def add(self, shard: Shard) -> None:
+        found = shard.candidates(self.block, self.floors, self.top)
+        for k, (some, scores) in enumerate(zip(found, shard.exact(self.block, found))):
+            if len(some):
+                scores, ids, null = map(np.concatenate, zip(self.rows[k], (scores, shard.ids[some], shard.null[some])))
+                order = np.lexsort((null, ids, -scores))[: self.top]
+                self.rows[k] = scores[order], ids[order], null[order]
+                if len(order) == self.top:
+                    self.floors[k] = scores[order[-1]]
+
+    def batch(self) -> pa.RecordBatch:
+        sizes = [len(r[0]) for r in self.rows]
+        scores, ids, null = map(np.concatenate, zip(*self.rows))
+        q, query_id = (pa.array([x[c] for x, n in zip(self.block, sizes) for _ in range(n)], pa.int64()) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([q, query_id, pa.array(ids, mask=null), pa.array(scores)], ["q", "query_id", "doc_id", "score"])
 
 
 def search(shards: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
@@ -177,7 +237,9 @@ def search(shards: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = flat.join(known, "term").select("q", "query_id", F.struct("term", idf.alias("idf")).alias("t"))
     ready = written(weighted.groupBy("q", "query_id").agg(F.array_sort(F.collect_list("t")).alias("t")), "queries")
-    parts = [written(answers(shards, block, mean, top), "answers") for block in blocks_of(ready)]
+    parts = []
+    for blocks in batched(blocks_of(ready), BLOCKS_AT_ONCE):
+        parts.append(written(reduce(DataFrame.unionByName, [answers(shards, block, mean, top) for block in blocks]), "answers"))
     if not parts:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     merged = parts[0]
@@ -189,7 +251,7 @@ def search(shards: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def blocks_of(ready: DataFrame):
-    """Blocks of at most ``QUERIES_PER_BLOCK`` queries; the driver holds one at a time."""
+    """Blocks of at most ``QUERIES_PER_BLOCK`` queries; the driver holds ``BLOCKS_AT_ONCE`` of them at a time."""
     held = []
     for row in ready.toLocalIterator():
         held.append((row.q, row.query_id, np.array([x.term for x in row.t], np.int64), np.array([x.idf for x in row.t])))
@@ -201,27 +263,22 @@ def blocks_of(ready: DataFrame):
 
 
 def answers(shards: DataFrame, block: list, mean: float, top: int) -> DataFrame:
-    """The best of every shard for every query of a block."""
+    """The best of each of ``GROUPS`` groups of shards, at most, for every query of a block.
+
+    A task reads its shards one by one and keeps the best so far, so its rows do not grow with the shards.
+    """
     shared = shards.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
+        best = Best(shared.value, top)
         for batch in batches:
             for row in range(batch.num_rows):
                 blobs = [batch.column(c)[row].as_buffer() for c in range(1, 6)]
                 kinds = (np.int32, np.int64, np.int64, np.int32, np.int32)
-                ids = batch.column(0)[row].as_py()
-                shard = Shard(ids, *[np.frombuffer(b, k) for b, k in zip(blobs, kinds)], mean)
-                out = []
-                for q, query_id, terms, idf in shared.value:
-                    found, scores = shard.search(terms, idf, top)
-                    out += [(q, query_id, ids[d], s) for d, s in zip(found.tolist(), scores.tolist())]
-                columns = zip(*out) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-                    ["q", "query_id", "doc_id", "score"],
-                )
-
-    stored = shards.select("doc_ids", "lengths", "terms", "starts", "docs", "counts")
+                best.add(Shard(batch.column(0)[row].values, *[np.frombuffer(b, k) for b, k in zip(blobs, kinds)], mean))
+        yield best.batch()
+
+    stored = shards.select("doc_ids", "lengths", "terms", "starts", "docs", "counts").coalesce(GROUPS)
     return stored.mapInArrow(run, "q long, query_id long, doc_id long, score double")
 
 

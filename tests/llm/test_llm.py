@@ -546,6 +546,18 @@ def test_search_equals_exhaustive_scoring(spark, monkeypatch, postings):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=2e-6)
 
 
+def test_search_rows_do_not_grow_with_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_POSTINGS", 1_000)
+    frame = documents(spark)
+    shards = written(topk_search.build_shards(frame), "shards")
+    kept = []
+    monkeypatch.setattr(topk_search, "written", lambda df, name: kept.append((name, written(df, name))) or kept[-1][1])
+    asked = frame.filter("doc_id % 10 = 0")
+    topk_search.search(shards, asked).count()
+    rows = sum(df.count() for name, df in kept if name == "answers")
+    assert shards.count() > 2 * 16 and rows <= 16 * topk_search.TOP * asked.count()
+
+
 def test_search_edges(spark, odd, none):
     shards = written(topk_search.build_shards(odd), "shards")
     got = topk_search.search(shards, odd).collect()
