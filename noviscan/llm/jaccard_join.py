@@ -31,7 +31,7 @@ SALTS = 64
 #: Largest sieve of shared prefix shingles, 64 MB; beyond some billion shingles it prunes less, answers stay exact.
 SIEVE_BITS_MOST = 29
 #: Prefix shingles that a task holds before it packs them.
-KEYS_HELD = 1 << 21
+KEYS_HELD = 1 << 20
 #: A little over 100 / 75, so the sizes of linking sets are in the same or in neighbouring blocks.
 BLOCK_RATIO = 1.34
 
@@ -114,8 +114,12 @@ def least_common(size):
     return (PERCENT * size + 99) // 100
 
 
-def distinct_sets(sets: DataFrame) -> DataFrame:
-    """(id, shingles) once per set: only sets that occur more than once, found by a sieve of their ids, are shuffled."""
+def distinct_sets(sets: DataFrame):
+    """A function (work, schema) that maps the batches (id, shingles) of all sets, each once.
+
+    Only sets that occur more than once, found by a sieve of their ids, are shuffled. The others are picked in the
+    task that works on them, so a task has one Python worker, not one for each of two steps.
+    """
     some = sets.filter("id is not null").select("id", "shingles")
     repeated = some.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("key"))
     bitmap = sets.sparkSession.sparkContext.broadcast(sieve(repeated))
@@ -128,7 +132,12 @@ def distinct_sets(sets: DataFrame) -> DataFrame:
         return run
 
     copies = some.mapInArrow(pick(True), some.schema).groupBy("id").agg(F.first("shingles").alias("shingles"))
-    return some.mapInArrow(pick(False), some.schema).unionByName(written(copies, "copies"))
+    copies, alone = written(copies, "copies"), pick(False)
+
+    def mapped(work, schema: str) -> DataFrame:
+        return some.mapInArrow(lambda batches: work(alone(batches)), schema).unionByName(copies.mapInArrow(work, schema))
+
+    return mapped
 
 
 def prefix(values: np.ndarray, levels: np.ndarray, shared: np.ndarray | None) -> np.ndarray:
@@ -151,7 +160,7 @@ def from_planes(blob: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-def shared_keys(uniques: DataFrame, levels, shared, bits: int, cuts: int) -> np.ndarray:
+def shared_keys(uniques, levels, shared, bits: int, cuts: int) -> np.ndarray:
     """Sieve (2^bits bits) of the prefix keys that two sets have at least.
 
     Keys are reduced to 40 bits, the slot of the sieve in front, and leave a task sorted, without repeats and
@@ -174,7 +183,7 @@ def shared_keys(uniques: DataFrame, levels, shared, bits: int, cuts: int) -> np.
     def run(batches):
         found, held = [], 0
         for batch in slices(batches, 256):
-            for blob in batch.column(0):
+            for blob in batch.column(1):
                 found.append(prefix(unpacked(blob.as_py()), levels.value, shared.value if shared else None))
                 held += len(found[-1])
             if held > KEYS_HELD:
@@ -191,14 +200,14 @@ def shared_keys(uniques: DataFrame, levels, shared, bits: int, cuts: int) -> np.
         flags[slots.astype(np.int64)] = 1
         return pa.table({"slice": group.column("slice")[:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
-    packed_keys = uniques.select("shingles").mapInArrow(run, "slice long, keys binary, twice binary")
+    packed_keys = uniques(run, "slice long, keys binary, twice binary")
     out, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (bits - cuts - 3)
     for row in packed_keys.groupBy("slice").applyInArrow(mark, "slice long, bits binary").toLocalIterator():
         out[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def prefix_rows(uniques: DataFrame, levels, shared, common) -> DataFrame:
+def prefix_rows(uniques, levels, shared, common) -> DataFrame:
     """(key, id, size, pos, side) of the prefix keys that are in the sieve ``common``."""
 
     def run(batches):
@@ -213,7 +222,7 @@ def prefix_rows(uniques: DataFrame, levels, shared, common) -> DataFrame:
             arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "id", "size", "pos"])
 
-    return uniques.select("id", "shingles").mapInArrow(run, "key long, id long, size int, pos int").withColumn("side", F.lit(2))
+    return uniques(run, "key long, id long, size int, pos int").withColumn("side", F.lit(2))
 
 
 def prefix_lists(sets: DataFrame) -> DataFrame:

@@ -511,6 +511,15 @@ def test_html_edges(spark):
     assert html_consensus.extract(frame.limit(0)).count() == 0
 
 
+def test_jaccard_lists_need_one_python_worker_a_task(spark):
+    sets = written(jaccard_join.shingle_sets(documents(spark)), "shingle-sets")
+    plan = jaccard_join.prefix_lists(sets)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    steps = [(re.search(r"[A-Z]", line).start(), "MapInArrow" in line) for line in plan]
+    for k, (depth, python) in enumerate(steps):
+        below = itertools.takewhile(lambda x: x[0] > depth, steps[k + 1 :])
+        assert not python or not any(more for _, more in below)
+
+
 # ---- search
 
 
