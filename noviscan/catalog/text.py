@@ -16,6 +16,7 @@ from noviscan.operators import proposals as O
 from noviscan.operators import relevance as R
 from noviscan.operators import titles as T
 from noviscan.operators.ordering import settle
+from noviscan.session import cut_lineage
 from noviscan.sources import segments as S
 
 # --- filters --------------------------------------------------------------------------------------
@@ -112,7 +113,9 @@ SELECT source_id, doc_id FROM s QUALIFY NOT boiler OR bool_and(boiler) OVER (PAR
 )
 def keep_relevant(spark, sf):
     rows = _dressed(spark, sf).withColumn("source_id", F.floor(F.col("doc_id") / 3))
-    return R.keep_relevant(rows, R.boilerplate(F.col("text"))).select("source_id", "doc_id")
+    # Flags are costly and read twice: make them once, without the texts.
+    flagged = cut_lineage(rows.select("source_id", "doc_id", R.boilerplate(F.col("text")).alias("boiler")))
+    return R.keep_relevant(flagged, F.col("boiler")).select("source_id", "doc_id")
 
 
 def _bounded(p: str) -> str:

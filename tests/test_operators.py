@@ -664,3 +664,16 @@ def test_completer_gets_small_frames(spark):
 
     got = complete(spark.range(1000).coalesce(1), provider).collect()
     assert sorted(r["id"] for r in got) == list(range(1000)) and max(int(r["reply"]) for r in got) == PROMPTS_AT_ONCE
+
+
+def test_relevance_flags_are_made_once(spark):
+    from noviscan.catalog.text import keep_relevant
+
+    plan = keep_relevant(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "text#" not in plan
+
+
+def test_prose_words_at_the_edges(spark):
+    texts = ["www.. abc", "(word) ab", "a b c d", "x1 ab1 abcd12", "https://x.y été 中文", "...", "www.a", "é1 éa1 😀😀"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", R.prose_ratio(F.col("t")).alias("p")).orderBy("k").collect()
+    assert [round(r.p, 6) for r in got] == [0.5, 1.0, 0.0, 0.666667, 0.666667, 0.0, 0.0, 0.333333]
