@@ -12,7 +12,7 @@ Two physical forms give the same rows:
   about a block there, so a query is sent once a bin however many of its cells are open. The result is exact.
 
 Only ``k`` rows per query and block leave a task; row pairs are never materialised, and a task holds a score
-matrix of ``SCORES_AT_ONCE`` numbers at most.
+matrix of ``SCORES_AT_ONCE`` numbers at most. Scores in single precision only choose which pairs are scored.
 Similarities are ranked after rounding to nine decimals, ties by id, so results do not depend on
 how the matrices were blocked.
 """
@@ -34,6 +34,13 @@ RANK_DECIMALS = 9
 QUERY_BLOCKS_PER_TASK = 2
 BLOCK_BYTES = 8 * 1024 * 1024
 SCORES_AT_ONCE = 1 << 20
+#: Index rows whose scores are made at one time, so that many queries share one reading of them.
+INDEX_AT_ONCE = 1 << 14
+#: Pairs whose vectors are gathered at one time.
+PAIRS_AT_ONCE = 1 << 13
+#: Index rows from which a query costs more than moving it, so that queries are dealt out however few splits they have.
+DEALT_FROM = 1 << 12
+TASKS_PER_CORE = 4
 #: Rows that routing hands over at one time, each with its vector.
 ROUTED_ROWS = 8192
 
@@ -53,9 +60,14 @@ def _skip_mask(left: np.ndarray | None, right: np.ndarray | None):
     return left[:, None] == right[None, :]
 
 
-def best_k(queries: np.ndarray, index: np.ndarray, k: int, skip=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, index row, similarity) of the k best index rows per query row."""
-    scores = queries @ index.T
+def best_k(queries: np.ndarray, index: np.ndarray, k: int, skip=None, rough=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, index row, similarity) of the k best index rows per query row, all of them unit vectors.
+
+    Scores in single precision (``rough``: both sides in it) choose the candidates, with room for their error; these
+    are scored in double precision.
+    """
+    left, right = rough if rough is not None else (queries.astype(np.float32), index.astype(np.float32))
+    scores = left @ right.T
     if skip is not None:
         scores[skip] = -np.inf
     take = min(k, scores.shape[1])
@@ -65,29 +77,54 @@ def best_k(queries: np.ndarray, index: np.ndarray, k: int, skip=None) -> tuple[n
     peaks = scores[:, :even].reshape(len(scores), -1, groups).max(axis=1)
     peaks = np.concatenate([peaks, scores[:, even:]], axis=1)
     bound = np.partition(peaks, peaks.shape[1] - take, axis=1)[:, peaks.shape[1] - take] if take <= groups else np.full(len(scores), -np.inf)
-    rows, cols = np.nonzero(scores >= bound[:, None] - 2 * 10.0**-RANK_DECIMALS)
-    values = np.round(scores[rows, cols], RANK_DECIMALS)
-    finite = np.isfinite(values)
-    rows, cols, values = rows[finite], cols[finite], values[finite]
-    order = np.lexsort((cols, -values, rows))
-    rows, cols, values = rows[order], cols[order], values[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - starts < take
+    error = (queries.shape[1] + 4) * 2.0**-23 + 10.0**-RANK_DECIMALS
+    rows, cols = np.nonzero(scores >= (bound - np.float32(2 * error))[:, None])
+    finite = np.isfinite(scores[rows, cols])
+    rows, cols = rows[finite], cols[finite]
+    values = np.round(_cosines(queries, index, rows, cols), RANK_DECIMALS)
+    keep = _first(rows, cols, values, take)
     return rows[keep], cols[keep], values[keep]
 
 
+def _cosines(queries: np.ndarray, index: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    if len(rows) * 16 > len(queries) * len(index):
+        return (queries @ index.T)[rows, cols]
+    out = np.empty(len(rows))
+    for start in range(0, len(rows), PAIRS_AT_ONCE):
+        some = slice(start, start + PAIRS_AT_ONCE)
+        out[some] = np.einsum("ij,ij->i", queries[rows[some]], index[cols[some]])
+    return out
+
+
+def _first(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, take: int) -> np.ndarray:
+    """Places of the ``take`` best of each row, by value and then by column."""
+    order = np.lexsort((cols, -values, rows))
+    ranked = rows[order]
+    return order[np.arange(len(ranked)) - np.searchsorted(ranked, ranked, side="left") < take]
+
+
 def steps(queries: int, index: int) -> Iterator[slice]:
     """Slices of the query rows whose scores against the index rows are few enough to hold."""
     step = max(1, SCORES_AT_ONCE // max(1, index))
     return (slice(start, start + step) for start in range(0, queries, step))
 
 
-def best_k_of(queries: np.ndarray, index: np.ndarray, k: int, left=None, right=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``best_k`` slice by slice; rows whose ``left`` equals an index row's ``right`` skip it."""
+def best_k_of(queries: np.ndarray, index: np.ndarray, k: int, left=None, right=None, rough=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_k`` tile by tile; rows whose ``left`` equals an index row's ``right`` skip it. ``rough``: the index in
+    single precision, where it is at hand."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for some in steps(len(queries), len(index)):
-        rows, cols, values = best_k(queries[some], index, k, _skip_mask(left[some] if left is not None else None, right))
-        found.append((rows + some.start, cols, values))
+    small = queries.astype(np.float32), index.astype(np.float32) if rough is None else rough
+    for some in steps(len(queries), min(len(index), INDEX_AT_ONCE)):
+        parts = []
+        for start in range(0, len(index), INDEX_AT_ONCE):
+            block = slice(start, start + INDEX_AT_ONCE)
+            skip = _skip_mask(left[some], right[block]) if left is not None and right is not None else None
+            rows, cols, values = best_k(queries[some], index[block], k, skip, (small[0][some], small[1][block]))
+            parts.append((rows + some.start, cols + start, values))
+        if parts:
+            rows, cols, values = (np.concatenate(part) for part in zip(*parts))
+            keep = _first(rows, cols, values, k)
+            found.append((rows[keep], cols[keep], values[keep]))
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
@@ -163,6 +200,11 @@ def _keys(group: str | None, extra: list[str], side: str):
     return columns
 
 
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """Rows in tasks of even size: a file of one row group is one task, whatever splits it has."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def _broadcast_pairs(q: DataFrame, x: DataFrame, k: int, schema: T.StructType, differs: bool) -> DataFrame:
     # top_k has checked the size of x against cfg.broadcast_bytes.
     table = x.toPandas().sort_values("chunk_id", kind="stable").reset_index(drop=True)
@@ -172,19 +214,19 @@ def _broadcast_pairs(q: DataFrame, x: DataFrame, k: int, schema: T.StructType, d
         table["x_differ"].to_numpy() if differs else None,
     )
     shared = q.sparkSession.sparkContext.broadcast(payload)
+    q = _dealt(q, "query_id") if len(table) >= DEALT_FROM else q
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix, differ = shared.value
         if not len(ids):
             return
+        small = matrix.astype(np.float32)
         for batch in batches:
-            for some in steps(len(batch), len(ids)):
-                part = batch.iloc[some]
-                skip = _skip_mask(part["q_differ"].to_numpy(), differ) if differs else None
-                rows, cols, values = best_k(unit_rows(part["qv"]), matrix, k, skip)
-                yield pd.DataFrame(
-                    {"query_id": part["query_id"].to_numpy()[rows], "chunk_id": ids[cols], "base_similarity": values}
-                )
+            own = batch["q_differ"].to_numpy() if differs else None
+            rows, cols, values = best_k_of(unit_rows(batch["qv"]), matrix, k, own, differ, small)
+            yield pd.DataFrame(
+                {"query_id": batch["query_id"].to_numpy()[rows], "chunk_id": ids[cols], "base_similarity": values}
+            )
 
     return q.mapInPandas(nearest, schema)
 
@@ -252,7 +294,10 @@ def _cell_pairs(
     q: DataFrame, x: DataFrame, k: int, schema: T.StructType, differs: bool, probes: int, exact: bool
 ) -> DataFrame:
     spark = q.sparkSession
-    pivots = spark.sparkContext.broadcast(_pivots(x, x.count()))
+    total = x.count()
+    if total >= DEALT_FROM:
+        q, x = _dealt(q, "query_id"), _dealt(x, "chunk_id")
+    pivots = spark.sparkContext.broadcast(_pivots(x, total))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
