@@ -12,6 +12,7 @@ from noviscan.operators import novelty as N
 from noviscan.operators import relevance as R
 from noviscan.operators import search as S
 from noviscan.operators import similarity as K
+from noviscan.session import cut_lineage
 
 CFG = DEFAULTS.replace(novel_threshold=NOVEL, known_threshold=KNOWN, append_margin=0.01)
 TOPK_SQL = matches_sql(3) + "SELECT query_id, chunk_id, round(base, 6) AS base_similarity, raw_rank FROM near"
@@ -124,9 +125,10 @@ def overlap_tags(spark, sf):
 SELECT source_id, verdict, overlapping, novel_segments FROM v JOIN o USING (source_id) JOIN g USING (source_id)""",
 )
 def source_analysis(spark, sf):
-    asked, scores = _scores(spark, sf)
+    matches = cut_lineage(boosted(spark, sf, 3, CFG))  # three rows a query, read by all three parts
+    scores = N.chunk_scores(asked_chunks(spark, sf).drop("embedding", "text", "same"), matches, CFG)
     segments = N.segment_scores(scores).groupBy("source_id").agg(F.count_if("is_novel").alias("novel_segments"))
-    overlapping_notes = _overlaps(spark, sf).groupBy("source_id").agg(F.count(F.lit(1)).alias("overlapping"))
+    overlapping_notes = N.overlaps(matches, asked_chunks(spark, sf)).groupBy("source_id").agg(F.count(F.lit(1)).alias("overlapping"))
     return N.source_verdicts(scores).select("source_id", "verdict").join(overlapping_notes, "source_id").join(segments, "source_id")
 
 
