@@ -31,6 +31,8 @@ QUERIES_PER_BLOCK = 2_048
 #: Tasks that the shards are dealt to for a block of queries; more tasks come from blocks run at once.
 GROUPS = 16
 BLOCKS_AT_ONCE = 8
+#: Terms whose counts a task holds before it hands them over.
+TERMS_HELD = 1 << 21
 #: Terms in more than this share of a shard's documents are rows of its matrix, of 64 MB at most.
 COMMON = 0.03
 MATRIX_ROWS, MATRIX_CELLS = 1 << 12, 1 << 24
@@ -104,17 +106,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def document_frequencies(shards: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, df) over all shards for the terms asked for, and a few others that pass a sieve of fixed size."""
+    """(term, df) over all shards for the terms asked for, and a few others that pass a sieve of fixed size.
+
+    A task adds up its group of shards, so a term leaves it once, not once a shard.
+    """
     bitmap = shards.sparkSession.sparkContext.broadcast(sieve(terms.select(F.col("term").alias("key"))))
 
+    def added(parts):
+        terms, places = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        sums = np.zeros(len(terms), np.int64)
+        np.add.at(sums, places, np.concatenate([n for _, n in parts]))
+        return terms, sums
+
+    def out(terms, sums):
+        return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(sums)], ["term", "n"])
+
     def run(batches):
+        held = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             for terms, starts in zip(batch.column(0), batch.column(1)):
                 terms, sizes = np.frombuffer(terms.as_buffer(), np.int64), np.diff(np.frombuffer(starts.as_buffer(), np.int64))
                 keep = sifted(bitmap.value, terms)
-                yield pa.RecordBatch.from_arrays([pa.array(terms[keep]), pa.array(sizes[keep])], ["term", "n"])
+                held = added([held, (terms[keep], sizes[keep])])
+                if len(held[0]) > TERMS_HELD:
+                    yield out(*held)
+                    held = np.empty(0, np.int64), np.empty(0, np.int64)
+        yield out(*held)
 
-    found = shards.select("terms", "starts").mapInArrow(run, "term long, n long")
+    found = shards.select("terms", "starts").coalesce(GROUPS).mapInArrow(run, "term long, n long")
     return found.groupBy("term").agg(F.sum("n").alias("df"))
 
 

@@ -794,3 +794,17 @@ def test_every_operator_has_its_query():
 
     numbers = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in entry.queries() if re.match(r"op\d+_", k))
     assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_a_term_leaves_a_group_of_shards_once(spark, monkeypatch):
+    """op7: counts of terms grew with shards times terms."""
+    from noviscan.llm import topk_search
+
+    monkeypatch.setattr(topk_search, "SHARD_POSTINGS", 4)
+    rows = [(i, f"alpha beta w{i}") for i in range(40)]
+    shards = topk_search.written(topk_search.build_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)), "shards")
+    terms = topk_search.query_terms(spark.createDataFrame([(1, "alpha beta w3")], "doc_id long, text string")).select(F.explode("terms").alias("term"))
+    found = topk_search.document_frequencies(shards, terms)
+    assert shards.count() > 10 and sorted(r["df"] for r in found.collect() if r["df"] > 1) == [40, 40]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" in plan
