@@ -32,6 +32,8 @@ SALTS = 64
 SIEVE_BITS_MOST = 29
 #: Prefix shingles that a task holds before it packs them.
 KEYS_HELD = 1 << 20
+#: Longs of a sketch of a whole set: 1 024 bits, sharp for sets of up to some 500 shingles.
+SKETCH_LONGS = 16
 #: A little over 100 / 75, so the sizes of linking sets are in the same or in neighbouring blocks.
 BLOCK_RATIO = 1.34
 
@@ -250,25 +252,59 @@ def possible(x: str, y: str):
     return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & ((100 + PERCENT) * most >= PERCENT * (a + b))
 
 
+def picked(sets: DataFrame, wanted: DataFrame, schema: str, work=lambda batch: batch) -> DataFrame:
+    """``work`` on the batches (id, shingles) of the sets whose id is in ``wanted`` (id), and of few others, each once a task."""
+    bitmap = sets.sparkSession.sparkContext.broadcast(sieve(wanted.select(F.col("id").alias("key"))))
+
+    def pick(batches):
+        seen: set[int] = set()
+        for batch in slices(batches):
+            ids = batch.column(0).to_numpy()
+            keep = sifted(bitmap.value, ids)
+            for k in np.flatnonzero(keep).tolist():
+                if int(ids[k]) in seen:
+                    keep[k] = False
+                seen.add(int(ids[k]))
+            yield work(batch.filter(pa.array(keep)))
+
+    return sets.filter("id is not null").select("id", "shingles").mapInArrow(pick, schema)
+
+
+def parities(values: np.ndarray) -> np.ndarray:
+    """A bit per bucket of hashes: odd or even number of shingles. Two sets differ in no more bits than in shingles."""
+    odd = np.bincount((values & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def sketcher(sets: DataFrame):
+    """Maps ids (id) to (id, sketch), the parities of the whole sets."""
+    kind = pa.struct([(f"w{k}", pa.int64()) for k in range(SKETCH_LONGS)])
+
+    def draw(batch):
+        found = np.array([parities(unpacked(x.as_py())) for x in batch.column(1)], np.int64).reshape(-1, SKETCH_LONGS)
+        words = [pa.array(np.ascontiguousarray(found[:, k])) for k in range(SKETCH_LONGS)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(words, fields=list(kind))], ["id", "sketch"])
+
+    def sketches(wanted: DataFrame) -> DataFrame:
+        schema = "id long, sketch struct<" + ", ".join(f"w{k}: bigint" for k in range(SKETCH_LONGS)) + ">"
+        found = picked(sets, wanted, schema, draw).join(wanted, "id", "left_semi")
+        return found.groupBy("id").agg(F.first("sketch").alias("sketch"))
+
+    return sketches
+
+
+def near(x: str, y: str):
+    """Sketch filter: sets that link differ in at most (100 - PERCENT) of (100 + PERCENT) of their summed sizes."""
+    differ = sum((F.bit_count(F.col(f"{x}.sketch.w{k}").bitwiseXOR(F.col(f"{y}.sketch.w{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    return (100 + PERCENT) * differ.cast("long") <= (100 - PERCENT) * (F.col(f"{x}.size").cast("long") + F.col(f"{y}.size"))
+
+
 def verifier(sets: DataFrame):
     """Compares the whole sets of pairs (Jaccard distance); only the sets that occur in pairs are shuffled."""
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        bitmap = sets.sparkSession.sparkContext.broadcast(sieve(wanted.select(F.col("id").alias("key"))))
-
-        def pick(batches):
-            seen: set[int] = set()
-            for batch in slices(batches):
-                ids = batch.column(0).to_numpy()
-                keep = sifted(bitmap.value, ids)
-                for k in np.flatnonzero(keep).tolist():
-                    if int(ids[k]) in seen:
-                        keep[k] = False
-                    seen.add(int(ids[k]))
-                yield batch.filter(pa.array(keep))
-
-        some = sets.filter("id is not null").select("id", "shingles").mapInArrow(pick, "id long, shingles binary")
+        some = picked(sets, wanted, "id long, shingles binary")
         some = written(some.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
         left = some.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         right = some.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -302,7 +338,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sets = written(shingle_sets(docs), "shingle-sets")
     lists = written(prefix_lists(sets), "prefix-lists")
     block = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(BLOCK_RATIO)))
-    roots = written(linked_components(lists, verifier(sets), possible, block, 1, 1 - PERCENT / 100), "roots")
+    roots = written(linked_components(lists, verifier(sets), possible, block, 1, 1 - PERCENT / 100, sketcher(sets), near), "roots")
     rows = sets.select("doc_id", "size", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = written(rows, "rows-with-root")
     least = written(rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least-ids")

@@ -9,7 +9,8 @@ index row and a probe row (``side`` 0 and 1, or 2 for both) meet under a key. Wh
 2. A list with one component is finished. A member outside the largest component of its lists is compared
    with one member of it in ``SAMPLES`` of these lists.
 3. What is left are pairs of different components; two members of the largest component of a list never
-   meet. Where both were compared with the same leader, the triangle inequality answers for most of them.
+   meet. Where both were compared with the same leader, the triangle inequality answers for many of them; in
+   lists of more than ``CROWDED`` rows, sketches of the whole items answer for nearly all others.
 
 The joins are by equal keys on written tables, so Spark can split keys that many rows share.
 """
@@ -25,6 +26,8 @@ from noviscan.llm.base import written
 
 #: Lists in which an item outside the largest component is compared with a member of it.
 SAMPLES = 3
+#: Rows of a list from which on its members carry their sketches; a shorter list has no more than so many pairs a row.
+CROWDED = 8
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -64,14 +67,16 @@ def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    lists: DataFrame, verify: Verify, possible: Callable[[str, str], Column], block: Column, reach: int, limit: float | None = None
+    lists: DataFrame, verify: Verify, possible: Callable[[str, str], Column], block: Column, reach: int, limit: float | None = None,
+    sketches: Callable[[DataFrame], DataFrame] | None = None, near: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """(id, root) of all items with a link, for written ``lists``; a key of one id costs its row only.
 
     ``verify`` maps pairs (a, b) to (a, b, linked, distance). ``possible(x, y)`` is a condition on the size
     and pos of two rows that every linking pair fulfils at one of its keys at least. ``block`` is a number by
     size; rows whose blocks differ by more than ``reach`` never link, so such blocks of a list are skipped.
-    ``limit`` is the largest distance of linking items, for a distance that is a metric.
+    ``limit`` is the largest distance of linking items, for a distance that is a metric. ``sketches`` maps ids (id)
+    to (id, sketch), and ``near(x, y)`` is a condition on the size and sketch of two rows that every linking pair fulfils.
     """
     index = lists.filter("side in (0, 2)").withColumn("block", block)
     probe = lists.filter("side in (1, 2)").withColumn("block", block)
@@ -99,7 +104,12 @@ def linked_components(
         open_lists = with_leader(open_lists, leaders, tested)
     else:
         open_lists = open_lists.withColumns({"leader": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
-    open_lists = written(mixed(with_root(open_lists.drop("root", "top"), roots)), "open-lists")
+    open_lists = written(mixed(with_root(open_lists.drop("root", "top", "rows"), roots)), "open-lists")
+    if sketches is not None:
+        crowded = open_lists.filter(F.col("rows") > CROWDED)
+        drawn = written(sketches(crowded.select("id").distinct()), "sketches")
+        few = open_lists.filter(F.col("rows") <= CROWDED).withColumn("sketch", F.lit(None).cast(drawn.schema["sketch"].dataType))
+        open_lists = few.unionByName(written(crowded.join(drawn, "id", "left"), "crowded-lists"))
     answered = F.coalesce(
         (F.col("x.leader") == F.col("y.leader")) & (F.abs(F.col("x.far") - F.col("y.far")) > (limit or 0.0) + 1e-9), F.lit(False)
     )
@@ -108,7 +118,8 @@ def linked_components(
     for x, y in ((left.filter("root <> top"), right), (left.filter("root = top"), right.filter("root <> top"))):
         spread = x.withColumn("block", F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)))
         met = spread.alias("x").join(y.alias("y"), ["key", "block"])
-        met = ordered(met.filter("x.root <> y.root").filter(possible("x", "y")).filter(~answered))
+        met = met.filter("x.root <> y.root").filter(possible("x", "y")).filter(~answered)
+        met = ordered(met if near is None else met.filter(F.coalesce(near("x", "y"), F.lit(True))))
         pairs = met if pairs is None else pairs.union(met)
     rest = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "cross-pairs")
     return extended(roots, verify(rest).filter("linked"))
@@ -120,10 +131,10 @@ def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """The rows of lists with more than one root, with ``top``, the root of most rows of the list."""
+    """The rows of lists with more than one root, with ``top``, the root of most rows of the list, and its number of ``rows``."""
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    lists = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"))
-    return rows.join(written(lists.filter("roots > 1").select("key", F.col("top.root").alias("top")), "mixed-lists"), "key")
+    lists = counts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("rows"))
+    return rows.join(written(lists.filter("roots > 1").select("key", F.col("top.root").alias("top"), "rows"), "mixed-lists"), "key")
 
 
 def with_leader(rows: DataFrame, leaders: DataFrame, tested: DataFrame) -> DataFrame:
