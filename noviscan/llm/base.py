@@ -102,3 +102,24 @@ def sifted(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """True where a key may be in the sieve."""
     slot = keys.astype(np.int64) & np.int64(bitmap.size * 8 - 1)
     return (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def parted(docs: DataFrame, column: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``column`` (long) may be in ``wanted``, by a sieve, and the rows where it is not.
+
+    So that only rows that a join may touch are shuffled, whole texts and all; null counts as a value.
+    """
+    key = F.xxhash64(F.col(column).cast("long"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(sieve(wanted.select(key.alias("key"))))
+
+    @F.arrow_udf("boolean")
+    def inside(keys: pa.Array) -> pa.Array:
+        return pa.array(sifted(bitmap.value, keys.to_numpy()))
+
+    return docs.filter(inside(key)), docs.filter(~inside(key))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the written table ``gone`` (doc_id); null is an id too."""
+    perhaps, stay = parted(docs, "doc_id", gone)
+    return stay.unionByName(perhaps.join(gone, perhaps.doc_id.eqNullSafe(gone.doc_id), "left_anti"))

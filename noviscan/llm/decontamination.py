@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noviscan.llm.base import query, slices, table, text_of
+from noviscan.llm.base import query, slices, table, text_of, without, written
 from noviscan.llm.words import LooseWords
 
 WINDOW = 20
@@ -184,4 +184,4 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: documents that overlap no benchmark item go on."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"), tolerant=True).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    return without(docs, written(found, "gone"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noviscan.llm.base import query, sieve, sifted, slices, table, text_of, written
+from noviscan.llm.base import query, sieve, sifted, slices, table, text_of, without, written
 from noviscan.llm.linking import linked_components
 from noviscan.llm.words import PlainWords
 
@@ -354,5 +354,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of each component the document with the least id goes on, with all rows of that id."""
-    found = similar_documents(docs.select("doc_id", "text")).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
+    kept = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept")
+    found = similar_documents(docs.select("doc_id", "text")).groupBy("doc_id").agg(kept)
+    return without(docs, written(found.filter("NOT kept").select("doc_id"), "gone"))

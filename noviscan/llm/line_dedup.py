@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from noviscan.llm.base import query, sieve, sifted, slices, table, text_of, written
+from noviscan.llm.base import parted, query, sieve, sifted, slices, table, text_of, written
 from noviscan.llm.linking import linked_components
 
 DISTANCE = 2
@@ -230,7 +230,9 @@ def dedupe_lines(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, k: ~F.array_contains("__removed", k))
     text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return numbered.join(removed, "__row", "left").withColumn("text", text).select(*docs.columns)
+    touched, whole = parted(numbered, "__row", removed)
+    changed = touched.join(removed, "__row", "left").withColumn("text", text)
+    return changed.select(*docs.columns).unionByName(whole.select(*docs.columns))
 
 
 @query("op5_line_dedup")

@@ -1,9 +1,11 @@
-"""What must not grow with the square of a group."""
+"""What must not grow with the square of a group, or be shuffled though nothing happens to it."""
 
 import random
 
-from noviscan.llm import jaccard_join, linking
-from noviscan.llm.base import written
+from pyspark.sql import functions as F
+
+from noviscan.llm import jaccard_join, line_dedup, linking
+from noviscan.llm.base import parted, without, written
 
 
 def test_variants_that_do_not_link_are_hardly_paired(spark, monkeypatch):
@@ -35,3 +37,22 @@ def test_variants_that_do_not_link_are_hardly_paired(spark, monkeypatch):
     assert (90, 7) in linked
     assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(root))
     assert sum(counts) < 91 * 90 // 2 // 4
+
+
+def test_stages_shuffle_only_rows_that_a_join_may_touch(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("text").alias("text")).union(spark.sql("SELECT 7L, 'again'"))
+    gone = written(spark.sql("SELECT explode(array(7L, 9L, 19999L, NULL)) AS doc_id"), "gone")
+    perhaps, stay = parted(docs, "doc_id", gone)
+    assert perhaps.count() < 30 and perhaps.count() + stay.count() == 20_001
+    got = without(docs, gone)
+    assert got.count() == 20_001 - 5 and got.filter("doc_id IS NULL OR doc_id IN (7, 9, 19999)").isEmpty()
+
+
+def test_lines_are_dropped_from_the_documents_that_repeat_them_only(spark):
+    line = "this very line is long enough to be compared with others"
+    texts = [f"{line}\nown {k} words of it" if k % 50 == 0 else f"nothing {k ** 3} else {k}" for k in range(200)]
+    texts[3] = None
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    got = {r.doc_id: r.text for r in line_dedup.dedupe_lines(docs).collect()}
+    want = {k: f"own {k} words of it" if k in (50, 100, 150) else t for k, t in enumerate(texts)}
+    assert got == want
